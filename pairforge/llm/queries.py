@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import iso_media, packing, token_counts
-from .common import documents
+import corpus_pipeline
+
+from . import iso_media, language_id, packing, quality_gam, sentencepiece_codec, simhash, token_counts
+from .common import crc_fold, documents, table
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes every whole text and decodes the ids again."""
+    docs = documents(spark, sf_dir)
+    ids = sentencepiece_codec.encode(docs, keep=(F.col("text"),)).withColumnRenamed("keep_0", "text")
+    back = sentencepiece_codec.decode(ids, keep=(F.xxhash64(F.coalesce("text", F.lit(""))), F.length(F.coalesce("text", F.lit(""))), F.size("ids"), F.xxhash64("ids")))
+    same = (F.xxhash64("decoded") == F.col("keep_0")) & (F.length("decoded") == F.col("keep_1"))
+    return back.select("doc_id", F.col("keep_2").cast("long").alias("n_pieces"), F.col("keep_3").alias("ids_hash"), same.alias("round_trip"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +30,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir)).drop("ids")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = documents(spark, sf_dir), crc_fold("doc_id", 5)
+    profiles = language_id.fit_profiles(docs.where(fold != 0), order_col="doc_id")
+    found = language_id.identify(docs, profiles, keep=(fold == 0,))
+    return found.withColumnRenamed("keep_0", "held_out")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = iso_media.store_media(documents(spark, sf_dir).select("doc_id", "text"))
     # The id travels with the unpadded length, so that no join is needed to bring them together.
@@ -49,10 +71,21 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = documents(spark, sf_dir), crc_fold("doc_id", 3)
+    model = quality_gam.train(docs, quality_gam.training_labels(table(spark, sf_dir, "labels")))
+    return quality_gam.classify(docs, model, keep=(fold == 1,)).withColumnRenamed("keep_0", "held_out")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op3_token_counts": op3_token_counts,
     "op6_packing": op6_packing,
+    "op7_language_id": op7_language_id,
+    "op8_simhash": op8_simhash,
     "op9_media_columns": op9_media_columns,
+    "op10_quality": op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {}
