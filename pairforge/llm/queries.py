@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import iso_media, language_id, packing, quality_gam, sentencepiece_codec, simhash, token_counts
+from . import hamming_topk, iso_media, language_id, packing, quality_gam, sentencepiece_codec, simhash, token_counts
 from .common import crc_fold, documents, table
 
 
@@ -22,6 +22,24 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.col("keep_2").cast("long").alias("n_pieces"), F.col("keep_3").alias("ids_hash"), same.alias("round_trip"))
 
 
+def op2_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes of every vector whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    codes = vectors.select("vec_id", hamming_topk.sign_code(F.col("embedding")).alias("code"))
+    return hamming_topk.top_k(codes, F.col("vec_id") % 20 == 0)
+
+
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+pairs AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS neighbor_id,
+         CAST(list_sum(list_transform(list_zip(q.bits, r.bits), lambda z: CAST(z[1] <> z[2] AS INTEGER))) AS BIGINT) AS distance
+  FROM v q CROSS JOIN v r WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM pairs)
+SELECT query_id, rank, neighbor_id, distance FROM ranked WHERE rank <= 10
+"""
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir))
 
@@ -79,6 +97,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_hamming_topk": op2_hamming_topk,
     "op3_token_counts": op3_token_counts,
     "op6_packing": op6_packing,
     "op7_language_id": op7_language_id,
@@ -88,7 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_hamming_topk": OP2_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
