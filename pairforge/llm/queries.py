@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import hamming_topk, iso_media, language_id, packing, quality_gam, sentencepiece_codec, simhash, token_counts
+from . import hamming_topk, iso_media, language_id, license_scan, packing, quality_gam, sentencepiece_codec, simhash, token_counts
 from .common import crc_fold, documents, table
 
 
@@ -44,6 +44,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir)).drop("ids")
 
@@ -99,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_hamming_topk": op2_hamming_topk,
     "op3_token_counts": op3_token_counts,
+    "op4_license_scan": op4_license_scan,
     "op6_packing": op6_packing,
     "op7_language_id": op7_language_id,
     "op8_simhash": op8_simhash,
@@ -107,7 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_hamming_topk": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_hamming_topk": OP2_SQL, "op4_license_scan": license_scan.oracle()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
