@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import hamming_topk, iso_media, language_id, license_scan, packing, quality_gam, sentencepiece_codec, simhash, token_counts
+from . import hamming_topk, iso_media, katz_lm, language_id, license_scan, packing, quality_gam, sentencepiece_codec, simhash, token_counts
 from .common import crc_fold, documents, table
 
 
@@ -48,6 +48,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+def op5_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_lm.score(documents(spark, sf_dir), crc_fold("doc_id", 10) == 0)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir)).drop("ids")
 
@@ -104,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hamming_topk": op2_hamming_topk,
     "op3_token_counts": op3_token_counts,
     "op4_license_scan": op4_license_scan,
+    "op5_katz_lm": op5_katz_lm,
     "op6_packing": op6_packing,
     "op7_language_id": op7_language_id,
     "op8_simhash": op8_simhash,
