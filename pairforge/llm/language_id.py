@@ -67,6 +67,8 @@ def profile_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for codes in codes_of(text):
         held.append(np.unique(codes, return_counts=True))
+    if not held:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(text) <= CHARS:  # n-grams of one, two and three letters never share a code
         return np.concatenate([c for c, _ in held]), np.concatenate([n for _, n in held])
     codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
