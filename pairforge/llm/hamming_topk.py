@@ -4,13 +4,17 @@ Codes of 64 bits are cut into m segments; a table for each segment maps its valu
 have it. A query probes all segments at radius 0, 1, 2, ...: after radius t every code at distance
 m * (t + 1) - 1 or less has been seen, as one of its segments must differ in t bits or fewer. The
 query is finished once its k-th verified distance is within that. Segments are sized by the number of
-distinct codes, so that a bucket holds a few hundred on average; larger buckets are split.
+distinct codes, so that a bucket holds a few hundred on average.
+
+The table of a segment is dealt out in cells: runs of values with the same leading bits, of a bounded
+number of codes (a cell with more is split). In a round each open query is sent once to every cell that
+its flips can reach, and the flips of the other bits are looked up there, in arrays; only candidates
+within the query's k-th distance so far come back, k at most from a cell.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -21,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import ship, stage
 
-#: Neighbours of a query; codes that a bucket should hold on average, and at most in one row.
-K, BUCKET, CHUNK = 10, 256, 4096
+#: Neighbours of a query; codes that a bucket should hold on average.
+K, BUCKET = 10, 256
+#: Codes of a cell, and pairs that are verified at once.
+CELL, PAIRS = 1 << 16, 1 << 19
 BITS = 64
 
 
@@ -45,65 +51,91 @@ def flips(width: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in x) for x in combinations(range(width), radius)], np.int64)
 
 
-def _values(code: Column, widths: list[int]) -> list[Column]:
-    at, out = 0, []
-    for i, w in enumerate(widths):
-        value = F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << w) - 1))
-        out.append(value.bitwiseOR(F.lit(i << 40)))
-        at += w
-    return out
-
-
-def _probes(queries: DataFrame, widths: list[int], radius: int) -> DataFrame:
-    """(key, q): the buckets at exactly ``radius`` flips of each segment of each query code."""
-    out = pa.schema([("key", pa.int64()), ("q", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q = batch.column(0).to_numpy()
-            at = 0
-            for i, w in enumerate(widths):
-                value = (q.view(np.uint64) >> np.uint64(at)).astype(np.int64) & ((1 << w) - 1)
-                at += w
-                if radius > w:
-                    continue
-                masks = flips(w, radius)
-                step = max(1, (1 << 18) // len(masks))
-                for a in range(0, len(q), step):
-                    keys = (value[a : a + step, None] ^ masks[None, :]) | (i << 40)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(q[a : a + step], len(masks)))], schema=out)
-
-    return queries.select("q").mapInArrow(run, "key long, q long")
-
-
-def _verify(met: DataFrame, k: int) -> DataFrame:
-    """The k nearest codes of each query in each batch of met buckets: (q, code, low, n, d)."""
-    schema = "q long, code long, low long, n int, d int"
+class Layout:
+    """Where the segments lie, and how many leading bits of each name its cells."""
+
+    def __init__(self, codes: int, bucket: int = BUCKET, cell: int = CELL):
+        self.widths = segment_widths(codes, bucket)
+        self.starts = [sum(self.widths[:i]) for i in range(len(self.widths))]
+        lead = max(0, math.ceil(math.log2(max(codes, 1) / cell)))
+        self.leads = [min(lead, w) for w in self.widths]
+
+    def cells(self, code: Column) -> Column:
+        """The cell of a code in each segment."""
+        out = []
+        for i, (at, w, lead) in enumerate(zip(self.starts, self.widths, self.leads)):
+            value = F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << w) - 1))
+            out.append(F.shiftright(value, w - lead).bitwiseOR(F.lit(i << 40)))
+        return F.array(*out)
+
+    def asks(self, code: Column, radius: int) -> Column:
+        """(cell, near): the cells that exactly ``radius`` flips of a segment reach, ``near`` of them outside the leading bits."""
+        own = self.cells(code)
+        out = []
+        for i, (w, lead) in enumerate(zip(self.widths, self.leads)):
+            for far in range(min(radius, lead) + 1):
+                if radius - far <= w - lead:
+                    out += [F.struct(own[i].bitwiseXOR(F.lit(m)).alias("cell"), F.lit(radius - far).alias("near")) for m in flips(lead, far).tolist()]
+        return F.array(*out)
+
+
+def _search(layout: Layout, k: int):
+    """The k nearest codes of a cell to each query that is sent to it: (q, code, low, n, d)."""
     out = pa.schema([("q", pa.int64()), ("code", pa.int64()), ("low", pa.int64()), ("n", pa.int32()), ("d", pa.int32())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                lists = part.column(1)
-                sizes = np.diff(lists.offsets.to_numpy())
-                entry = lists.flatten()
-                code, low, n = (entry.field(x).to_numpy() for x in ("code", "low", "n"))
-                q = np.repeat(part.column(0).to_numpy(), sizes)
-                d = np.bitwise_count(code.view(np.uint64) ^ q.view(np.uint64)).astype(np.int32)
-                order = np.lexsort((code, low, d, q))
-                q, code, low, n, d = (x[order] for x in (q, code, low, n, d))
-                fresh = np.r_[True, (q[1:] != q[:-1]) | (code[1:] != code[:-1])]  # a code met in several buckets counts once
-                q, code, low, n, d = (x[fresh] for x in (q, code, low, n, d))
-                first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-                rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
-                keep = rank < k
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (q, code, low, n.astype(np.int32), d)], schema=out)
-
-    return met.select("q", "entries").mapInArrow(run, schema)
-
-
-def top_k(df: DataFrame, queries: Column, id_col: str = "vec_id", code_col: str = "code", k: int = K, bucket: int = BUCKET) -> DataFrame:
+    def work(index: pa.Table, asked: pa.Table) -> pa.Table:
+        if not index.num_rows or not asked.num_rows:
+            return out.empty_table()
+        segment = index["cell"][0].as_py() >> 40
+        at, inner = np.uint64(layout.starts[segment]), layout.widths[segment] - layout.leads[segment]
+        code = index["code"].to_numpy().view(np.uint64)
+        value = (code >> at) & np.uint64((1 << inner) - 1)
+        order = np.argsort(value, kind="stable")
+        code, value = code[order], value[order].astype(np.int64)
+        low, n = index["low"].to_numpy()[order], index["n"].to_numpy()[order]
+        found = []
+        for near in sorted(set(asked["near"].to_pylist())):
+            mine = asked.filter(pa.array(asked["near"].to_numpy() == near))
+            queries, bounds = mine["q"].to_numpy().view(np.uint64), mine["bound"].to_numpy()
+            masks = flips(inner, near)
+            own = ((queries >> at) & np.uint64((1 << inner) - 1)).astype(np.int64)
+            step = max(1, PAIRS // max(len(masks), 1))
+            for a in range(0, len(queries), step):
+                probes = (own[a : a + step, None] ^ masks[None, :]).ravel()
+                who = np.repeat(np.arange(a, min(a + step, len(queries))), len(masks))
+                first = np.searchsorted(value, probes, "left")
+                sizes = np.searchsorted(value, probes, "right") - first
+                ends = np.cumsum(sizes)
+                begin = 0
+                while begin < len(probes):  # as many probes as have PAIRS candidates, one at least
+                    stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PAIRS, "right")))
+                    c = sizes[begin:stop]
+                    pick = np.repeat(first[begin:stop] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+                    q = np.repeat(who[begin:stop], c)
+                    d = np.bitwise_count(code[pick] ^ queries[q]).astype(np.int32)
+                    keep = d <= bounds[q]
+                    found.append((queries[q[keep]].view(np.int64), code[pick[keep]].view(np.int64), low[pick[keep]], n[pick[keep]], d[keep]))
+                    if sum(len(x[0]) for x in found) > 4 * PAIRS:
+                        found = [_nearest(found, k)]
+                    begin = stop
+        if not found:
+            return out.empty_table()
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(_nearest(found, k), out)], schema=out)
+
+    return work
+
+
+def _nearest(found: list[tuple], k: int) -> tuple:
+    """The k nearest of each query, ties by the smallest id of a code."""
+    q, code, low, n, d = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((code, low, d, q))
+    q, code, low, n, d = (x[order] for x in (q, code, low, n, d))
+    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
+    keep = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) < k
+    return tuple(x[keep] for x in (q, code, low, n, d))
+
+
+def top_k(df: DataFrame, queries: Column, id_col: str = "vec_id", code_col: str = "code", k: int = K, bucket: int = BUCKET, cell: int = CELL) -> DataFrame:
     """The k nearest rows of each row of ``df`` for which ``queries`` holds: (query_id, rank, neighbor_id, distance).
 
     Against all rows, the query's own included; ties by the smaller id; fewer rows where there are fewer
@@ -119,20 +151,23 @@ def top_k(df: DataFrame, queries: Column, id_col: str = "vec_id", code_col: str
     in_code = Window.partitionBy("code").orderBy("id")
     members = rows.select("code", "id", F.row_number().over(in_code).alias("place")).where(F.col("place") <= k)
     index = stage(spark, members.groupBy("code").agg(F.min("id").alias("low"), F.count("*").cast("int").alias("n"), F.sort_array(F.collect_list("id")).alias("ids")), "index")
-    widths = segment_widths(index.count(), bucket)
-    m = len(widths)
+    layout = Layout(index.count(), bucket, cell)
+    m = len(layout.widths)
 
-    keyed = index.select(F.explode(F.array(*_values(F.col("code"), widths))).alias("key"), F.struct("code", "low", "n").alias("entry"))
-    parts = keyed.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
-    split = keyed.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("entry.code"), F.col("parts")))
-    buckets = stage(spark, split.groupBy("key", "part").agg(F.collect_list("entry").alias("entries")), "buckets")
+    keyed = index.select("code", "low", "n", F.explode(layout.cells(F.col("code"))).alias("cell"))
+    # Cells with more codes than most may have are split; queries go to all parts of a cell, and to no empty one.
+    parts = keyed.groupBy("cell").agg(F.ceil(F.count("*") / (2 * cell)).cast("int").alias("parts"))
+    split = keyed.join(parts, "cell").select("cell", F.pmod(F.xxhash64("code"), F.col("parts")).alias("part"), "code", "low", "n")
+    cells, parts = stage(spark, split, "cells"), stage(spark, parts, "parts")
 
     asked = rows.where("asks").select("id", "code")
-    open_queries = stage(spark, asked.select(F.col("code").alias("q")).distinct(), "queries")
+    open_queries = stage(spark, asked.select(F.col("code").alias("q")).distinct().withColumn("bound", F.lit(BITS)), "queries")
     nearest = Window.partitionBy("q").orderBy("d", "low", "code")
     found: DataFrame | None = None
-    for radius in range(max(widths) + 1):
-        got = _verify(_probes(open_queries, widths, radius).join(buckets, "key"), k)
+    for radius in range(max(layout.widths) + 1):
+        sent = open_queries.select("q", "bound", F.explode(layout.asks(F.col("q"), radius)).alias("to")).select("q", "bound", "to.cell", "to.near")
+        sent = sent.join(parts, "cell").select("cell", "q", "bound", "near", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
+        got = cells.groupBy("cell", "part").cogroup(sent.groupBy("cell", "part")).applyInArrow(_search(layout, k), "q long, code long, low long, n int, d int")
         if found is not None:
             got = got.union(found.join(open_queries, "q", "left_semi"))
         best = got.dropDuplicates(["q", "code"]).withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= k).drop("place")
@@ -142,7 +177,8 @@ def top_k(df: DataFrame, queries: Column, id_col: str = "vec_id", code_col: str
         reach = best.withColumn("upto", F.sum("n").over(nearest.rowsBetween(Window.unboundedPreceding, 0)))
         kth = reach.where(F.col("upto") >= k).groupBy("q").agg(F.min("d").alias("kth"))
         covered = m * (radius + 1) - 1
-        open_queries = stage(spark, open_queries.join(kth.where(F.col("kth") <= covered), "q", "left_anti"), f"open{radius}")
+        now = open_queries.join(kth, "q", "left").select("q", F.coalesce("kth", F.lit(BITS)).alias("bound"), F.coalesce(F.col("kth") <= covered, F.lit(False)).alias("done"))
+        open_queries = stage(spark, now.where("not done").drop("done"), f"open{radius}")
         if covered >= BITS or open_queries.isEmpty():
             break
 
