@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES: tuple[str, ...] = ()
+_MODULES: tuple[str, ...] = ("basics",)
 
 
 def _modules() -> list:
