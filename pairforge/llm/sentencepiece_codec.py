@@ -26,7 +26,7 @@ INFINITE = float("inf")
 #: Added to the worst score for a character that no piece has; positions between two looks for a meeting point.
 UNKNOWN_PENALTY, LOOK = 10.0, 64
 #: Longest segment that is remembered, and how many are.
-REMEMBERED, SEGMENTS = 64, 300_000
+REMEMBERED, SEGMENTS = 64, 900_000
 
 
 class Model:
@@ -43,14 +43,15 @@ class Model:
         self.bytes = {int(names[i][3:5], 16): i for i in range(size) if sp.is_byte(i)}
         plain = [i for i in range(size) if not special[i] and not sp.is_byte(i)]
         self.prefix = sp.encode(" ", out_type=str)[:1] != []  # a dummy blank is put before every text
-        self.scores: dict[str, float | None] = {}
         self.ids = {names[i]: i for i in plain}
-        for i in plain:
-            self.scores[names[i]] = sp.get_score(i)
+        self.scores = {names[i]: sp.get_score(i) for i in plain}
         self.longest = max(map(len, self.ids), default=1)
-        for name in self.ids:  # beginnings of pieces, with no score of their own
-            for k in range(1, len(name)):
-                self.scores.setdefault(name[:k], None)
+        #: Character -> (score of the piece that ends here or None, what may follow).
+        self.trie: dict[str, tuple] = {}
+        nodes = {"": self.trie}
+        for name in sorted({x[:k] for x in self.ids for k in range(1, len(x) + 1)}, key=len):
+            nodes[name] = {}
+            nodes[name[:-1]][name[-1]] = (self.scores.get(name), nodes[name])
         self.worst = min((sp.get_score(i) for i in plain), default=0.0) - UNKNOWN_PENALTY
         self.blanks_lead = not any(a != BLANK and b == BLANK for x in self.ids for a, b in zip(x, x[1:]))
         self.lines_part = self.blanks_lead and not any("\n" in x for x in self.ids)
@@ -108,21 +109,20 @@ class StreamingViterbi:
         return ids
 
     def _try(self, stop: int) -> None:
-        text, best, back, get, longest, worst = self.text, self.best, self.back, self.model.scores.get, self.model.longest, self.model.worst
-        n = len(text)
+        text, best, back, root, longest, worst = self.text, self.best, self.back, self.model.trie, self.model.longest, self.model.worst
         for a in range(self.done, stop):
-            base, alone = best[a], False
-            for b in range(a + 1, min(n, a + longest) + 1):
-                score = get(text[a:b], False)
-                if score is False:
+            base, b, follow = best[a], a, root
+            for ch in text[a : a + longest]:
+                got = follow.get(ch)
+                if got is None:
                     break
-                if score is not None:
-                    if b == a + 1:
-                        alone = True
-                    if base + score > best[b]:
-                        best[b], back[b] = base + score, a
-            if not alone and base + worst > best[a + 1]:
-                best[a + 1], back[a + 1] = base + worst, a
+                score, follow = got
+                b += 1
+                if score is not None and base + score > best[b]:
+                    best[b], back[b] = base + score, a
+            if (alone := root.get(text[a])) is None or alone[0] is None:
+                if base + worst > best[a + 1]:
+                    best[a + 1], back[a + 1] = base + worst, a
         self.done = stop
 
     def _commit(self, live: Iterable[int]) -> Iterator[int]:
