@@ -114,10 +114,12 @@ class Solution:
         return best.select("id", F.col("b.k").alias("cluster"))
 
 
-def anneal(points: DataFrame, most: int = 8, cooling: float = 0.8, final: float = 0.05, sponge: float | None = None, sponge_from: float = 0.5, inner: int = 4, least: float = 2.0, dim: int | None = None) -> Solution:
+def anneal(points: DataFrame, most: int = 8, cooling: float = 0.8, final: float = 0.2, sponge: float | None = None, sponge_from: float = 0.5, inner: int = 4, least: float = 2.0, dim: int | None = None) -> Solution:
     """Anneal from one center to at most ``most``; clusters whose largest variance exceeds the temperature split along it.
 
-    With ``sponge`` (its distance) a noise cluster joins once the temperature is below ``sponge_from`` of the first.
+    Begins at the temperature where one center can first split, the largest variance of all points (or
+    one and a half of the mean squared distance, if that is lower), and ends at ``final`` of it. With
+    ``sponge`` (its distance) a noise cluster joins below ``sponge_from`` of it.
     """
     spark = points.sparkSession
     points = stage(spark, points.select("id", "x"), "points")
@@ -125,6 +127,10 @@ def anneal(points: DataFrame, most: int = 8, cooling: float = 0.8, final: float
     first = initial_state(points).first()
     t0 = float(first["t0"])
     state: list[tuple[np.ndarray, float]] = [(np.array(first["y"], float), 1.0)]
+    whole = np.zeros((len(first["y"]),) * 2)
+    for r in covariances(points.select("id", "x", F.lit(0).alias("k"), F.lit(1.0).alias("m")), spark.createDataFrame([(0, list(first["y"]))], "k int, y array<double>")).collect():
+        whole[r["i"], r["j"]] = whole[r["j"], r["i"]] = r["v"] / n
+    t0 = min(t0, 0.99 * float(np.linalg.eigvalsh(whole)[-1])) or t0
     noise, temperature, history = None, t0, []
 
     def frame() -> DataFrame:

@@ -52,7 +52,7 @@ def da_remove_small(spark, sf):
 
 
 def pairwise_annealing(spark, sf):
-    s = C.anneal(distances(spark, sf), most=3, cooling=0.6, final=0.1, inner=2)
+    s = C.anneal(distances(spark, sf), most=3, cooling=0.7, final=0.5, inner=2)
     return s.labels().groupBy("cluster").agg(F.count("*").alias("n"))
 
 
@@ -102,7 +102,7 @@ def vda_covariance(spark, sf):
 
 
 def vector_annealing(spark, sf):
-    s = D.anneal(points(spark, sf), most=6, cooling=0.7, final=0.1, sponge=1.5, inner=2, dim=DIM)
+    s = D.anneal(points(spark, sf), most=4, cooling=0.7, final=0.5, sponge=1.2, sponge_from=0.8, inner=2, dim=DIM)
     return s.labels().groupBy("cluster").agg(F.count("*").alias("n"))
 
 
