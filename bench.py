@@ -11,8 +11,8 @@ from pairforge.plans import catalog
 from pairforge.session import get_session
 
 HEADLINE = (
-    "kmeans_center_stats", "kmeans_two_iterations", "pairs_all_mirrored", "pairs_membership_pass", "density_matrix", "transform_bin_weights", "centers_all_methods",
-    "da_m_step", "vda_memberships", "mds_gradient", "mds_hessian_product", "compare_best_overlap", "reduce_vectors", "reduce_correlation", "smith_waterman", "rotation_fit",
+    "kmeans_center_stats", "kmeans_two_iterations", "pairs_all_mirrored", "pairs_membership_pass", "density_matrix", "vda_memberships",
+    "compare_best_overlap", "reduce_vectors", "reduce_correlation", "smith_waterman", "rotation_fit",
 )
 
 
