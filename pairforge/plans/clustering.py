@@ -16,8 +16,11 @@ from pairforge.session import table
 
 
 def _scaled(spark, sf):
-    """Distances divided by two, so that most lie below one."""
-    return half_distances(spark, sf).select(F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j"), (F.col("d") / 2).alias("d"))
+    """Distances divided by two, so that most lie below one.
+
+    The explode of one element is a barrier: what uses d several times gets its value, not its 64 terms.
+    """
+    return half_distances(spark, sf).select(F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j"), F.explode(F.array(F.col("d") / 2)).alias("d"))
 
 
 def distance_cut(spark, sf):
