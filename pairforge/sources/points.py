@@ -101,7 +101,7 @@ def plot_xml(points: DataFrame, clusters: list[tuple[int, str]], most: int = 100
     rows = points.orderBy("id").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} points to plot")
-    top = E.Element("plotviz")
+    top = E.Element("plot")
     box = E.SubElement(top, "clusters")
     for key, label in clusters:
         c = E.SubElement(box, "cluster")
