@@ -154,8 +154,8 @@ def _paired(c: Column) -> Column:
 
 
 def percent_identity(a: Column, b: Column) -> Column:
-    """Equal non-gap columns over all columns."""
-    return _count(_columns(a, b), lambda c: _paired(c) & (c["p"] == c["q"])) / F.length(a)
+    """Equal non-gap columns over all columns; null for empty rows."""
+    return _count(_columns(a, b), lambda c: _paired(c) & (c["p"] == c["q"])) / F.nullif(F.length(a), F.lit(0))
 
 
 def percent_identity_non_gap(a: Column, b: Column) -> Column:
@@ -177,7 +177,7 @@ def percent_identity_overlap(a: Column, b: Column) -> Column:
 def percent_similarity(a: Column, b: Column, scores: Scores | None = None) -> Column:
     """Columns without a gap whose score is above zero, over all columns."""
     alike = sorted({x + y for (x, y), v in (nucleotide() if scores is None else scores).items() if v > 0})
-    return _count(_columns(a, b), lambda c: F.concat(c["p"], c["q"]).isin(alike)) / F.length(a)
+    return _count(_columns(a, b), lambda c: F.concat(c["p"], c["q"]).isin(alike)) / F.nullif(F.length(a), F.lit(0))
 
 
 _PURINES, _PYRIMIDINES = ["A", "G"], ["C", "T"]
@@ -189,8 +189,9 @@ def kimura_distance(a: Column, b: Column, clip: float | None = 10.0, undefined:
     known = lambda x: x["p"].isin(_PURINES + _PYRIMIDINES) & x["q"].isin(_PURINES + _PYRIMIDINES)
     kind = lambda x: x["p"].isin(_PURINES) == x["q"].isin(_PURINES)
     n = _count(c, known)
-    p = _count(c, lambda x: known(x) & (x["p"] != x["q"]) & kind(x)) / n
-    q = _count(c, lambda x: known(x) & ~kind(x)) / n
+    some = F.nullif(n, F.lit(0.0))
+    p = _count(c, lambda x: known(x) & (x["p"] != x["q"]) & kind(x)) / some
+    q = _count(c, lambda x: known(x) & ~kind(x)) / some
     one, two = F.lit(1.0) - 2 * p - q, F.lit(1.0) - 2 * q
     d = F.when((n > 0) & (one > 0) & (two > 0), -0.5 * F.log(one) - 0.25 * F.log(two)).otherwise(F.lit(undefined))
     return d if clip is None else F.least(d, F.lit(clip))
