@@ -75,16 +75,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def discounts(n: list[int], cut: int = CUT) -> np.ndarray:
     """Good-Turing factors d[r] for counts up to ``cut`` (1 beyond, at d[cut + 1]) from n[r], how many have count r.
 
-    Where the counts of counts give no factor between 0 and 1, as in very small tables, (r - 1/2) / r stands in.
+    From the first r whose factor is not between 0 and 1, as copies of texts make them, a log-log line through
+    the counts of counts takes their place (simple Good-Turing). Where that does not fall faster than 1 / r, as
+    in very small tables, (r - 1/2) / r stands in.
     """
     d = np.ones(cut + 2)
     r = np.arange(1, cut + 1)
     d[1 : cut + 1] = (r - 0.5) / r
-    if all(n[x] > 0 for x in range(1, cut + 2)):
-        high = (cut + 1) * n[cut + 1] / n[1]
-        good = np.array([((x + 1) * n[x + 1] / n[x] / x - high) / (1 - high) if high != 1 else -1 for x in r])
-        if ((good > 0) & (good < 1)).all():
-            d[1 : cut + 1] = good
+    known = [x for x in range(1, cut + 2) if n[x] > 0]
+    slope = np.polyfit(np.log(known), np.log([n[x] for x in known]), 1)[0] if len(known) > 1 else 0.0
+    if slope < -1:
+        high = (cut + 1) ** (slope + 1)
+        d[1 : cut + 1] = ((1 + 1 / r) ** (slope + 1) - high) / (1 - high)
+    high = (cut + 1) * n[cut + 1] / n[1] if n[1] else 1
+    for x in r if high < 1 else []:
+        good = ((x + 1) * n[x + 1] / n[x] / x - high) / (1 - high) if n[x] else 0
+        if not 0 < good < 1:
+            break
+        d[x] = good
     return d
 
 
