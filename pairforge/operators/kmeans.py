@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +63,7 @@ def fit(points: DataFrame, start: DataFrame, cut: float = 0.001, extra: int = 11
     """(assigned, centers, iterations) from starting centers (k, y).
 
     Stops ``extra`` iterations after the first in which centers moved by less than ``cut`` of the mean
-    radius on average. An empty cluster keeps its last center.
+    radius on average; warns if ``most`` iterations end first. An empty cluster keeps its last center.
     """
     spark, centers, left = points.sparkSession, start, None
     for step in range(1, most + 1):
@@ -78,6 +80,8 @@ def fit(points: DataFrame, start: DataFrame, cut: float = 0.001, extra: int = 11
             left = extra
         if left == 0:
             break
+    else:
+        warnings.warn(f"K-means did not converge in {most} iterations", RuntimeWarning, stacklevel=2)
     return assign(points, centers, dim), centers, step
 
 

@@ -112,7 +112,7 @@ def kmeans_two_iterations(spark, sf):
 def kmeans_converged(spark, sf):
     pts = points(spark, sf)
     first = pts.where("id < 4").select(F.col("id").alias("k"), F.col("x").alias("y"))
-    assigned, _, _ = K.fit(pts, first, extra=2, most=12, dim=DIM)
+    assigned, _, _ = K.fit(pts, first, dim=DIM)
     return assigned.select("id", "k", r6("d"))
 
 
