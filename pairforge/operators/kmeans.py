@@ -85,8 +85,13 @@ def fit(points: DataFrame, start: DataFrame, cut: float = 0.001, extra: int = 11
     return assign(points, centers, dim), centers, step
 
 
+def center_pairs(centers: DataFrame) -> DataFrame:
+    """(a, b, d): each center with every other."""
+    a, b = centers.select(F.lit(0).alias("all"), F.col("k").alias("a"), F.col("y").alias("ya")), centers.select(F.lit(0).alias("all"), F.col("k").alias("b"), F.col("y").alias("yb"))
+    return a.join(b, "all").where("a <> b").select("a", "b", V.distance(F.col("ya"), F.col("yb")).alias("d"))
+
+
 def nearest_centers(centers: DataFrame, k: int) -> DataFrame:
     """(a, b, d, rank): the k nearest other centers of each."""
-    a, b = centers.select(F.lit(0).alias("all"), F.col("k").alias("a"), F.col("y").alias("ya")), centers.select(F.lit(0).alias("all"), F.col("k").alias("b"), F.col("y").alias("yb"))
-    pairs = a.join(b, "all").where("a <> b").select("a", "b", V.distance(F.col("ya"), F.col("yb")).alias("d"))
+    pairs = center_pairs(centers)
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("d", "b")).cast("long")).where(F.col("rank") <= k)

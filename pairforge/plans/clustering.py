@@ -177,7 +177,7 @@ def noise_singletons(spark, sf):
 
 def close_clusters(spark, sf):
     """For each center, how many others lie within the cut."""
-    near = K.nearest_centers(label_means(points(spark, sf)), 1000)
+    near = K.center_pairs(label_means(points(spark, sf)))
     return near.groupBy(F.col("a").cast("long").alias("k")).agg(F.count_if(F.col("d") < 0.6).alias("close"), r6(F.min("d"), "nearest"))
 
 
