@@ -35,7 +35,7 @@ def distance_transforms(spark, sf):
 
 def prune_links(spark, sf):
     near = distances(spark, sf).where("d <= 1.05")
-    return T.prune_sparse(near, 3, rounds=3).groupBy("i").agg(F.count("*").alias("n"))
+    return T.prune_sparse(near, 3).groupBy("i").agg(F.count("*").alias("n"))
 
 
 CUTS = [0.55, 0.65, 0.75]
