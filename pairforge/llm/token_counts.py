@@ -1,18 +1,21 @@
 """Token counts of whole texts by overlap resynchronisation.
 
 Texts of up to ``chunk_chars`` characters are encoded in one piece. Longer ones are encoded in
-overlapping chunks with character offsets, each with bounded memory. Two neighbours are spliced at a
-common boundary that is proven stable: it lies before an ASCII white space that follows something
-else (no token, merge or normalisation of the tokenizer crosses it, whatever stands around), both
-chunks have a token edge there, and both hold the same tokens from there to the next such boundary.
-Where the overlap has none, it is widened until it has, at last to the whole of the left chunk, which
-is then encoded together with the right one. So the count equals that of the text in one piece.
+overlapping chunks with character offsets. Two neighbours are spliced at a common boundary that is
+proven stable: no token, merge or normalisation of the tokenizer crosses it, whatever stands around; both
+chunks have a token edge there; and both hold the same tokens from there to the next such boundary. Such
+boundaries lie before an ASCII white space that follows something else and, where the pre-tokenizer keeps
+digits and marks apart, between ASCII digits and letters and before ASCII punctuation after either.
+Overlaps are widened until they hold two boundaries. Where the left chunk has none, as within one word
+of a script without spaces, both become one chunk, and chunks double, so that the work stays in proportion
+to the text. The count equals that of the text in one piece.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
@@ -22,7 +25,9 @@ from .wordcodec import WordCodec, open_codec
 #: Characters of a chunk, of the first overlap; counts above OVER_LIMIT tokens are flagged.
 CHUNK_CHARS, OVERLAP_CHARS, OVER_LIMIT = 32_768, 256, 2048
 
-_CUT = re.compile(r"(?<=[^ \t\n\r\x0b\x0c])(?=[ \t\n\r\x0b\x0c])")
+_SPACE = r"(?<=[^ \t\n\r\x0b\x0c])(?=[ \t\n\r\x0b\x0c])"
+_CUT = re.compile(_SPACE)
+_FINE = re.compile(rf"{_SPACE}|(?<=[A-Za-z0-9])(?=[.,;:!?])|(?<=[0-9])(?=[A-Za-z0-9])|(?<=[A-Za-z])(?=[0-9])")
 
 Token = tuple[int, int, int]
 
@@ -50,29 +55,30 @@ def splice(left: list[Token], right: list[Token], cuts: list[int]) -> tuple[int,
     return None
 
 
-def encode_long(codec: WordCodec, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[Token]:
-    """Tokens of a text of any length, from chunks of bounded size where the text has white space."""
-    kept: list[Token] = []
+def encode_long(codec: WordCodec, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> Iterator[list[Token]]:
+    """Tokens of a text of any length, run by run; two chunks are held, or a word that is longer."""
+    pattern = _FINE if codec.fine else _CUT
     start, end = 0, min(chunk, len(text))
-    left = encode_with_offsets(codec, text[start:end], start)
+    left = encode_with_offsets(codec, text[:end], 0)
     while end < len(text):
-        wide = overlap
-        while True:
-            begin = max(start, end - wide)
-            stop = min(len(text), end + chunk - overlap)
+        cuts = [m.start() for m in pattern.finditer(text, start, end) if start < m.start() < end]
+        stop, wide, at = min(len(text), end + chunk - overlap), overlap, None
+        while at is None and len(cuts) > 1:
+            begin = max(start, min(end - wide, cuts[-2] - 1))
             right = encode_with_offsets(codec, text[begin:stop], begin)
-            if begin == start:  # no proven boundary in the left chunk: both become one
-                left = right
+            at = splice(left, right, cuts[bisect_left(cuts, begin + 1) :])
+            if begin == start:
                 break
-            cuts = [m.start() for m in _CUT.finditer(text, begin, end) if begin < m.start() < end]
-            if (at := splice(left, right, cuts)) is not None:
-                start, keep, drop = at
-                kept += left[:keep]
-                left = right[drop:]
-                break
-            wide *= 2
+            wide = 2 * (end - begin)
+        if at is None:
+            stop = min(len(text), end + max(chunk, end - start))
+            left = encode_with_offsets(codec, text[start:stop], start)
+        else:
+            start, keep, drop = at
+            yield left[:keep]
+            left = right[drop:]
         end = stop
-    return kept + left
+    yield left
 
 
 def count_tokens(
@@ -81,8 +87,9 @@ def count_tokens(
     """One row per row of ``df``: (id, n_bytes, n_tokens, over_limit, n_chunked).
 
     Map-side only. A null text counts as the empty one, with no bytes and no tokens; null ids and
-    repeated rows each give their own row; other columns are not read. ``n_chunked`` is true for texts
-    that were encoded in overlapping chunks. Special strings in a text are tokens, as the library has
+    repeated rows each give their own row; other columns are not read; an empty table gives no rows. Of a
+    very long text two chunks of tokens are held at a time. ``n_chunked`` is true for texts that were
+    encoded in overlapping chunks. Special strings in a text are tokens, as the library has
     it by default; none are added.
     """
     kind = df.schema[id_col].dataType.simpleString()
@@ -96,7 +103,7 @@ def count_tokens(
             counts = [len(x) // 4 for x in codec.encode(["" if cut else x for x, cut in zip(texts, long)])]
             for i, cut in enumerate(long):
                 if cut:
-                    counts[i] = len(encode_long(codec, texts[i], chunk_chars, overlap_chars))
+                    counts[i] = sum(map(len, encode_long(codec, texts[i], chunk_chars, overlap_chars)))
             return {
                 "id": part["id"],
                 "n_bytes": [len((x or "").encode("utf-8", "surrogatepass")) for x in texts],

@@ -50,6 +50,9 @@ class WordCodec:
         self.marks = sorted({x[:2] for x in added})
         if any(c.isspace() for x in added for c in x) or any(x.get("lstrip") or x.get("rstrip") for x in spec.get("added_tokens", [])):
             self.splits = False
+        pattern = ((_parts(spec.get("pre_tokenizer"), "pretokenizers") or [{}])[0].get("pattern") or {}).get("Regex", "")
+        #: Whether ASCII digits, letters and punctuation are kept apart, in special strings too.
+        self.fine = self.splits and "|[\\p{N}]|" in pattern and not any(re.search("[0-9.,;:!?]", x) for x in added)
         self.max_words = max_words
         self.bytes_as = _byte_alphabet() if self.splits and _is_byte_level(spec) else None
         self.known: dict[bytes, bytes] = {}

@@ -38,12 +38,28 @@ def test_chunked_encoding_equals_the_whole(codec):
     rnd = random.Random(2)
     for _ in range(200):
         text = "".join(rnd.choice([*PIECES, "x" * rnd.randint(1, 60)]) for _ in range(rnd.randint(0, 120)))
-        got = token_counts.encode_long(codec, text, chunk=rnd.choice([20, 50, 90]), overlap=rnd.choice([4, 8, 16]))
+        got = [t for run in token_counts.encode_long(codec, text, chunk=rnd.choice([20, 50, 90]), overlap=rnd.choice([4, 8, 16])) for t in run]
         whole = codec.library.encode(text, add_special_tokens=False)
         assert [t[2] for t in got] == whole.ids
         assert [(a, b) for a, b, _ in got] == whole.offsets
 
 
+def test_long_texts_without_white_space_take_time_in_proportion(codec):
+    rnd = random.Random(8)
+    asked = []
+    real = token_counts.encode_with_offsets
+    for alphabet in ("漢字仮名交文章語", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "ab,1 "):
+        text = "".join(rnd.choices(alphabet, k=300_000))
+        asked.clear()
+        token_counts.encode_with_offsets = lambda c, t, at: asked.append(len(t)) or real(c, t, at)
+        try:
+            n = sum(map(len, token_counts.encode_long(codec, text)))
+        finally:
+            token_counts.encode_with_offsets = real
+        assert n == len(codec.library.encode(text, add_special_tokens=False).ids)
+        assert sum(asked) < 3 * len(text)
+
+
 def test_count_tokens_on_odd_rows(spark, odd_docs, no_docs, codec):
     got = token_counts.count_tokens(odd_docs, chunk_chars=1000, overlap_chars=64).collect()
     texts = [r.text for r in odd_docs.collect()]
@@ -84,6 +100,22 @@ def test_packing_loses_no_id(spark, odd_docs, no_docs, codec):
     assert packing.pack(no_docs).count() == 0
 
 
+def test_steps_are_balanced_over_all_tasks(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(8)
+    rows = packed(docs)
+    steps, short = {}, 0
+    for s in {(r["sequence_id"], r["tier"], r["step_group"]) for r in rows}:
+        steps.setdefault((s[1] if s[1] >= 256 else 0, s[2]), []).append(s[1])
+        short += s[1] < 256
+    assert all(sum(x) <= 32_768 for x in steps.values())
+    assert len({s for _, s in steps}) == len(steps)
+    for tier in (256, 512, 1024, 2048):
+        sums = sorted(sum(x) for (t, _), x in steps.items() if t == tier)
+        assert all(x == 32_768 for x in sums[1:])
+    assert short <= 8
+    assert "ids" not in packing.pack(docs, with_ids=False).columns
+
+
 def test_packer_fills_windows_and_balances_steps():
     rnd, total, sizes = random.Random(1), 0, []
     packer = packing.Packer(pool_tokens=1 << 15)
