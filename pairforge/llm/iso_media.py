@@ -1,7 +1,8 @@
 """Media columns: ISO base media (MP4-family) containers as binary columns.
 
-``read_media`` walks the nested boxes of each file, decodes the sample tables and gives codec,
-duration and the byte ranges of keyframes without decoding a payload. ``store_media`` writes bytes
+``read_media`` walks the nested boxes of each file, decodes the sample tables (of movie fragments too) and
+gives codec, duration and the byte ranges of keyframes without decoding a payload. Edit lists are not
+applied: all that is stored counts. ``store_media`` writes bytes
 as an uncompressed video track of 8x8 RGB frames (192 samples of 8 bits each), so that any text can
 be a lossless media file with real sample tables.
 """
@@ -20,7 +21,7 @@ from .common import map_arrow
 #: A frame of 8x8 pixels with three 8-bit samples; frames a chunk, between keyframes, a second.
 FRAME, CHUNK, GOP, RATE = 192, 32, 12, 24
 #: Boxes that hold only boxes.
-NESTED = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"mvex", b"udta"))
+NESTED = frozenset((b"moov", b"mdia", b"minf", b"stbl", b"dinf", b"mvex"))
 #: The identity matrix of track and movie headers, in 16.16 and 2.30 fixed point.
 UNITY = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
@@ -104,6 +105,16 @@ class Track:
     offsets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     keyframes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    #: Duration, size and flags of a fragment's samples, unless it has its own.
+    defaults: tuple[int, int, int] = (0, 0, 0)
+
+    def extend(self, offsets: np.ndarray, sizes: np.ndarray, keys: np.ndarray, duration: int, file_size: int) -> None:
+        """Samples of a movie fragment, after those there are."""
+        if len(sizes) and (offsets.min() < 0 or (offsets + sizes).max() > file_size):
+            raise ValueError("a sample lies outside the file")
+        self.duration = (self.duration if len(self.sizes) else 0) + duration
+        self.keyframes = np.r_[self.keyframes, keys + len(self.sizes)]
+        self.offsets, self.sizes = np.r_[self.offsets, offsets], np.r_[self.sizes, sizes]
 
     def runs(self) -> list[tuple[int, int]]:
         """Byte ranges of all samples in order, neighbours merged."""
@@ -124,13 +135,73 @@ def _table(data: memoryview, at: int, end: int, kind: str, width: int, skip: int
     return np.frombuffer(data, kind, count * width, at + skip + 4).astype(np.int64).reshape(count, width)
 
 
+def _sizes(data: memoryview, found: dict[bytes, tuple[int, int]], file_size: int) -> np.ndarray:
+    """Sample sizes: one for all, a table, or a compact table of 4, 8 or 16 bits."""
+    if b"stsz" in found:
+        at, end = found[b"stsz"]
+        uniform, count = struct.unpack_from(">II", data, at + 4)
+        return np.full(count, uniform, np.int64) if uniform and count <= file_size // uniform else _table(data, at, end, ">u4", 1, 8)[:, 0]
+    at, end = found[b"stz2"]
+    bits, count = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
+    if bits not in (4, 8, 16) or at + 12 + -(-count * bits // 8) > end:
+        raise ValueError(f"compact size table at {at} is cut off")
+    raw = np.frombuffer(data, ">u2" if bits == 16 else "u1", count if bits > 4 else -(-count // 2), at + 12).astype(np.int64)
+    return raw if bits > 4 else np.stack([raw >> 4, raw & 15], 1).ravel()[:count]
+
+
+def _fragment(data: memoryview, start: int, at: int, end: int, tracks: dict[int, Track]) -> None:
+    """Add the samples of a movie fragment that begins at ``start``."""
+    after = start
+    for kind, a, b in boxes(data, at, end):
+        if kind != b"traf":
+            continue
+        track, (duration, size, flags), base, begin = None, (0, 0, 0), None, after
+        for kind, c, d in boxes(data, a, b):
+            if kind == b"tfhd":
+                told, number = struct.unpack_from(">II", data, c)
+                if (track := tracks.get(number)) is None:
+                    raise ValueError(f"a fragment of track {number}, which the movie doesn't have")
+                duration, size, flags = track.defaults
+                c += 8
+                if told & 1:
+                    base = struct.unpack_from(">Q", data, c)[0]
+                elif told & 0x20000:
+                    base = start
+                c += 8 * (told & 1) + 4 * (told >> 1 & 1)
+                own = [duration, size, flags]
+                for k, bit in enumerate((8, 0x10, 0x20)):
+                    if told & bit:
+                        own[k] = struct.unpack_from(">I", data, c)[0]
+                        c += 4
+                duration, size, flags = own
+                base = begin = after if base is None else base
+            elif kind == b"trun":
+                if track is None:
+                    raise ValueError("a run without its track")
+                told, count = struct.unpack_from(">II", data, c)
+                c += 8
+                if told & 1:
+                    begin = base + struct.unpack_from(">i", data, c)[0]
+                first = struct.unpack_from(">I", data, c + 4 * (told & 1))[0] if told & 4 else None
+                c += 4 * (told & 1) + 4 * (told >> 2 & 1)
+                held = [bit for bit in (0x100, 0x200, 0x400, 0x800) if told & bit]
+                if c + 4 * len(held) * count > d or count > len(data):
+                    raise ValueError(f"run at {c} is cut off")
+                rows = np.frombuffer(data, ">u4", len(held) * count, c).astype(np.int64).reshape(count, len(held))
+                of = lambda bit, other: rows[:, held.index(bit)] if bit in held else np.full(count, other, np.int64)  # noqa: B023, E731
+                durations, sizes, marks = of(0x100, duration), of(0x200, size), of(0x400, flags)
+                if first is not None and count and 0x400 not in held:
+                    marks = np.r_[first, marks[1:]]
+                ends = begin + np.cumsum(sizes)
+                track.extend(ends - sizes, sizes, np.flatnonzero(marks & 0x10000 == 0), int(durations.sum()), len(data))
+                begin = after = int(ends[-1]) if count else begin
+
+
 def _sample_tables(data: memoryview, found: dict[bytes, tuple[int, int]], track: Track, file_size: int) -> None:
     at, end = found[b"stsd"]
     if struct.unpack_from(">I", data, at + 4)[0]:
         track.codec = bytes(data[at + 12 : at + 16]).decode("latin-1")
-    at, end = found[b"stsz"]
-    uniform, count = struct.unpack_from(">II", data, at + 4)
-    sizes = np.full(count, uniform, np.int64) if uniform and count <= file_size // uniform else _table(data, at, end, ">u4", 1, 8)[:, 0]
+    sizes = _sizes(data, found, file_size)
     place = b"co64" if b"co64" in found else b"stco"
     chunks = _table(data, *found[place], ">u8" if place == b"co64" else ">u4", 1)[:, 0]
     runs = _table(data, *found[b"stsc"], ">u4", 3)
@@ -158,7 +229,7 @@ def _sample_tables(data: memoryview, found: dict[bytes, tuple[int, int]], track:
 
 def parse_media(data: bytes) -> tuple[str, list[Track]]:
     """(major brand, tracks); ValueError or struct.error on a malformed file."""
-    view, brand, tracks = memoryview(data), "", []
+    view, brand, tracks, defaults = memoryview(data), "", [], {}
 
     def walk(at: int, end: int, track: Track | None, found: dict[bytes, tuple[int, int]]) -> None:
         nonlocal brand
@@ -168,20 +239,28 @@ def parse_media(data: bytes) -> tuple[str, list[Track]]:
             elif kind == b"trak":
                 own, tables = Track(), {}
                 walk(a, b, own, tables)
-                if missing := {b"stsd", b"stsz", b"stsc", b"stts"} - tables.keys() or ({b"stco"} if not {b"stco", b"co64"} & tables.keys() else set()):
+                if missing := {b"stsd", b"stsc", b"stts"} - tables.keys() | ({b"stsz"} if not {b"stsz", b"stz2"} & tables.keys() else set()) | ({b"stco"} if not {b"stco", b"co64"} & tables.keys() else set()):
                     raise ValueError(f"track without {sorted(x.decode() for x in missing)}")
                 _sample_tables(view, tables, own, len(view))
                 tracks.append(own)
+            elif kind == b"trex":
+                number, _, *own = struct.unpack_from(">5I", view, a + 4)
+                defaults[number] = tuple(own)
+            elif kind == b"moof":
+                for x in tracks:
+                    x.defaults = defaults.get(x.track_id, x.defaults)
+                _fragment(view, at, a, b, {x.track_id: x for x in tracks})
             elif kind in NESTED:
                 walk(a, b, track, found)
             elif track is not None and kind == b"tkhd":
                 track.track_id = struct.unpack_from(">I", view, a + (20 if view[a] else 12))[0]
             elif track is not None and kind == b"mdhd":
                 track.timescale, track.duration = struct.unpack_from(">IQ", view, a + 20) if view[a] else struct.unpack_from(">II", view, a + 12)
-            elif track is not None and kind == b"hdlr":
+            elif track is not None and kind == b"hdlr" and not track.handler:
                 track.handler = bytes(view[a + 8 : a + 12]).decode("latin-1")
             else:
                 found.setdefault(kind, (a, b))
+            at = b
 
     walk(0, len(view), None, {})
     return brand, tracks
@@ -194,7 +273,11 @@ def text_payload(text: str | None, frame: int = FRAME) -> tuple[int, bytes]:
 
 
 def store_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: (id, n_bytes, media). A null text is stored as the empty one, which is one blank frame."""
+    """One row per row: (id, n_bytes, media). A null text is stored as the empty one, which is one blank frame.
+
+    Null ids and repeated rows are stored like any other; other columns are not read; an empty table gives
+    no rows. A file is held in memory whole, as it is one value of a column.
+    """
     kind = df.schema[id_col].dataType.simpleString()
 
     def make():
@@ -214,8 +297,9 @@ TRACK = "struct<track_id:long,handler:string,codec:string,timescale:long,duratio
 def read_media(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", with_payload: bool = False) -> DataFrame:
     """One row per row: (id, media, brand, tracks, error), and the first track's ``payload`` if asked for.
 
-    Malformed or empty files give no tracks and an ``error``; a null file gives nulls. Repeated rows and
-    null ids are kept; other columns are not read.
+    ``tracks`` has every keyframe's number and byte range. Malformed or empty files give no tracks and an
+    ``error``; a null file gives nulls. Repeated rows and null ids are kept; other columns are not read; an
+    empty table gives no rows.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
