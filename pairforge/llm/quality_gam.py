@@ -78,8 +78,15 @@ class Gam:
 
 
 def _cuts(x: np.ndarray, bins: int) -> np.ndarray:
-    """Cut points at quantiles and, for values that come often, on either side of them."""
-    return np.unique(np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1], method="higher"))
+    """Cut points: on either side of values that make a bin by themselves, and at quantiles of all the others."""
+    values, n = np.unique(x, return_counts=True)
+    if len(values) <= bins:
+        return values[1:]
+    often = n * bins >= len(x)
+    rest = np.repeat(values[~often], n[~often])
+    cuts = np.quantile(rest, np.linspace(0, 1, bins + 1)[1:-1], method="higher") if len(rest) else values[:0]
+    after = np.flatnonzero(often) + 1
+    return np.setdiff1d(np.r_[cuts, values[often], values[after[after < len(values)]]], values[:1])
 
 
 def _leaf(g: float, h: float, ridge: float) -> float:
@@ -182,20 +189,21 @@ def with_features(df: DataFrame, id_col: str, text_col: str, keep: tuple[Column,
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> Gam:
-    """Fit on at most about ``fit_rows`` labelled documents, those with the smallest hashes of their ids.
+    """Fit on at most ``fit_rows`` labelled documents, those with the smallest hashes of id and text.
 
     The bound is on the classifier's training rows alone. Null ids and labels are left out; ids with
-    several labels take the more frequent one, 1 on a tie. No labelled rows give the constant one half.
+    several labels take the more frequent one, 1 on a tie; of an id's several documents each is a row. No
+    labelled rows give the constant one half.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id"))
     known = known.agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("double").alias("label"))
     total = known.select(F.count("*")).first()[0]
-    if total > fit_rows:
-        share = int(fit_rows / total * 2**32)
+    if total > 2 * fit_rows:  # so many that chance leaves fit_rows of them all the same
+        share = int(2 * fit_rows / total * 2**32)
         known = known.where(F.xxhash64("label_id").bitwiseAND(F.lit(2**32 - 1)) < F.lit(share))
-    # At most about fit_rows rows of two numbers: the size is bounded whatever the tables hold.
+    # At most about 2 * fit_rows rows of two numbers: the size is bounded whatever the tables hold.
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(known), F.col("id") == F.col("label_id"))
-    got = with_features(rows, "id", "text", (F.col("label"),)).orderBy("id", *FEATURES).limit(2 * fit_rows).toPandas()
+    got = with_features(rows, "id", "text", (F.col("label"), F.xxhash64("id", "text"))).orderBy("keep_1", "id", *FEATURES).limit(fit_rows).toPandas()
     return fit(got[list(FEATURES)].to_numpy(float), got["keep_0"].to_numpy(float))
 
 
@@ -203,7 +211,8 @@ def classify(df: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str =
     """One row per row of ``df``: (id, score, predicted), with the columns ``keep`` in between.
 
     ``score`` is the probability of label 1; ``predicted`` is 1 from one half on. Nulls are scored as
-    empty texts; null ids and repeated rows are kept; other columns are not read. Map-side only.
+    empty texts; null ids and repeated rows are kept; other columns are not read; an empty table gives no
+    rows. Whole texts are read, one at a time where they are very long. Map-side only.
     """
     names = [f"keep_{i}" for i in range(len(keep))]
     picked = df.select(df[id_col].alias("id"), df[text_col].alias("text"), *(c.alias(n) for c, n in zip(keep, names)))
