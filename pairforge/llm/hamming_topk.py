@@ -33,7 +33,8 @@ BITS = 64
 
 
 def sign_code(vector: Column) -> Column:
-    """The signs of up to 64 components as a long: bit i is 1 if component i is above zero."""
+    """The signs of up to 64 components as a long: bit i is 1 if component i is above zero. More are an error."""
+    vector = F.when(F.size(vector) > BITS, F.raise_error(F.lit(f"a sign code has {BITS} components at most"))).otherwise(vector)
     bits = F.transform(vector, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
@@ -167,7 +168,9 @@ def top_k(df: DataFrame, queries: Column, id_col: str = "vec_id", code_col: str
     for radius in range(max(layout.widths) + 1):
         sent = open_queries.select("q", "bound", F.explode(layout.asks(F.col("q"), radius)).alias("to")).select("q", "bound", "to.cell", "to.near")
         sent = sent.join(parts, "cell").select("cell", "q", "bound", "near", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
-        got = cells.groupBy("cell", "part").cogroup(sent.groupBy("cell", "part")).applyInArrow(_search(layout, k), "q long, code long, low long, n int, d int")
+        # Cells that nobody asks stay where they are.
+        asked_cells = cells.join(sent.select("cell", "part").distinct(), ["cell", "part"], "left_semi")
+        got = asked_cells.groupBy("cell", "part").cogroup(sent.groupBy("cell", "part")).applyInArrow(_search(layout, k), "q long, code long, low long, n int, d int")
         if found is not None:
             got = got.union(found.join(open_queries, "q", "left_semi"))
         best = got.dropDuplicates(["q", "code"]).withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= k).drop("place")
