@@ -53,7 +53,7 @@ def op5_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir)).drop("ids")
+    return packing.pack(documents(spark, sf_dir), with_ids=False)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +94,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         track["codec"].alias("codec"),
         (track["duration"] / track["timescale"]).alias("duration_s"),
         F.size(keys).cast("long").alias("n_keyframes"),
+        F.transform(keys, lambda k: F.struct(k["offset"].alias("offset"), k["length"].alias("length"))).alias("keyframes"),
     )
 
 
