@@ -47,10 +47,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or an own one where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; with a local master an own one where that is unset (tests)."""
     context = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="pairforge-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(where)
@@ -68,3 +70,12 @@ def stage(spark: SparkSession, df: DataFrame, name: str, partition_by: tuple[str
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete a table that ``stage`` returned, once nothing reads it any more; other frames are left alone."""
+    for file in df.inputFiles()[:1] if df is not None else ():
+        top, mark, rest = file.partition("/pairforge/")
+        if mark and len(name := rest.split("/")[0]) == 32:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{top}{mark}{name}")
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
