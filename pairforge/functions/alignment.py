@@ -1,8 +1,9 @@
 """Pairwise alignment with affine gaps, and distances over alignments.
 
-The kernel fills one row of the score table at a time with NumPy: the vertical gap and the diagonal are
-vector operations, the horizontal gap a running maximum. Distances are column expressions over the
-aligned strings and stay on the JVM.
+The kernel aligns pairs of like lengths together and fills one row of their score tables at a time with
+NumPy: the vertical gap and the diagonal are vector operations, the horizontal gap a running maximum. A
+cell keeps one byte: where it comes from, and whether the gaps that end in it are extended ones. Distances
+are column expressions over the aligned strings and stay on the JVM.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pairforge.session import ship
 
 GAP = "-"
 STOP, DIAGONAL, UP, LEFT = range(4)
+#: Marks of a cell's byte beside its direction; cells of score tables that are held at once, unless one pair has more.
+UP_EXTENDED, LEFT_EXTENDED, CELLS = 4, 8, 1 << 25
 
 
 @dataclass(frozen=True)
@@ -37,6 +40,7 @@ class Aligned:
 
 def _matrix(scores: Scores) -> np.ndarray:
     out = np.zeros((128, 128), np.float32)
+    out[0], out[:, 0] = -1e9, -1e9  # what fills up a shorter sequence
     for (a, b), v in scores.items():
         out[ord(a), ord(b)] = v
     return out
@@ -50,61 +54,94 @@ class Aligner:
         self.open, self.extend, self.local = np.float32(open_), np.float32(extend), local
 
     def align(self, a: str, b: str) -> Aligned:
-        x, y = (np.frombuffer(s.upper().encode("ascii", "replace"), np.uint8) for s in (a, b))
-        n, m = len(x), len(y)
-        worst = np.float32(-1e30)
-        steps = np.arange(m + 1, dtype=np.float32)
-        row = np.zeros(m + 1, np.float32)
+        return self.align_many([(a, b)])[0]
+
+    def align_many(self, pairs: list[tuple[str, str]]) -> list[Aligned]:
+        """The alignments of all pairs, in their order."""
+        order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
+        found: list[Aligned | None] = [None] * len(pairs)
+        while order:
+            n, m, take = 0, 0, 0
+            for k in order:  # as many as fit, one at least
+                n, wider = max(n, len(pairs[k][0])), max(m, len(pairs[k][1]))
+                if take and (take + 1) * (n + 1) * (wider + 1) > CELLS:
+                    break
+                m, take = wider, take + 1
+            for k, one in zip(order[:take], self._together([pairs[k] for k in order[:take]])):
+                found[k] = one
+            order = order[take:]
+        return found
+
+    def _together(self, pairs: list[tuple[str, str]]) -> list[Aligned]:
+        texts = [(a.upper(), b.upper()) for a, b in pairs]
+        # Shorter sequences are filled up with a symbol of no score; no best cell lies there.
+        sizes = np.array([(len(a), len(b)) for a, b in texts])
+        n, m = sizes.max(axis=0).tolist()
+        x, y = (np.zeros((len(texts), w), np.uint8) for w in (n, m))
+        for k, (a, b) in enumerate(texts):
+            x[k, : len(a)], y[k, : len(b)] = (np.frombuffer(t.encode("ascii", "replace"), np.uint8) & 127 for t in (a, b))
+        every, worst = np.arange(len(texts)), np.float32(-1e30)
+        steps = np.arange(m + 1, dtype=np.float32) * self.extend
+        row = np.zeros((len(texts), m + 1), np.float32)
+        up = np.full_like(row, worst)
+        cells = np.zeros((n + 1, *row.shape), np.uint8)
         if not self.local:
-            row[1:] = -(self.open + (steps[1:] - 1) * self.extend)
-        up = np.full(m + 1, worst, np.float32)
-        choice = np.zeros((n + 1, m + 1), np.int8)
-        up_len, left_len = np.zeros((n + 1, m + 1), np.int32), np.zeros((n + 1, m + 1), np.int32)
-        if not self.local:
-            choice[0, 1:], left_len[0, 1:] = LEFT, np.arange(1, m + 1)
-        best, at = np.float32(0), (0, 0)
+            row[:, 1:] = -(self.open + steps[:-1])
+            cells[0, :, 1:] = LEFT
+            cells[0, :, 2:] |= LEFT_EXTENDED
+        best = np.where(sizes[:, 0] == 0, row[every, sizes[:, 1]], 0).astype(np.float32)
+        end = np.zeros_like(sizes) if self.local else sizes
         for i in range(1, n + 1):
-            first = np.float32(0) if self.local else -(self.open + (i - 1) * self.extend)
             longer, fresh = up - self.extend, row - self.open
-            up_len[i] = np.where(longer >= fresh, up_len[i - 1] + 1, 1)
+            cell = np.where(longer > fresh, UP_EXTENDED, 0).astype(np.uint8)
             up = np.maximum(longer, fresh)
-            diagonal = np.r_[worst, row[:-1] + self.table[x[i - 1], y]].astype(np.float32)
+            diagonal = np.full_like(row, worst)
+            diagonal[:, 1:] = row[:, :-1] + self.table[x[:, i - 1, None], y]
             stay = np.maximum(diagonal, up)
             if self.local:
                 stay = np.maximum(stay, 0)
-            stay[0] = first
-            # The best left gap into j comes from the best of stay[k] + k * extend over k < j.
-            reach = np.maximum.accumulate(stay + steps * self.extend)
-            left = np.r_[worst, reach[:-1] - self.open - (steps[1:] - 1) * self.extend].astype(np.float32)
-            origin = np.maximum.accumulate(np.where(stay + steps * self.extend == reach, np.arange(m + 1), 0))
-            left_len[i, 1:] = np.arange(1, m + 1) - origin[:-1]
+            stay[:, 0] = 0 if self.local else -(self.open + (i - 1) * self.extend)
+            # The best left gap into j comes from the best of stay[k] + k * extend over k < j; the last such k opens it.
+            lifted = stay + steps
+            reach = np.maximum.accumulate(lifted, axis=1)
+            left = np.full_like(row, worst)
+            left[:, 1:] = reach[:, :-1] - self.open - steps[:-1]
+            cell[:, 2:] |= np.where(lifted[:, 1:-1] == reach[:, 1:-1], 0, LEFT_EXTENDED).astype(np.uint8)
             row = np.maximum(stay, left)
-            choice[i] = np.where(row == diagonal, DIAGONAL, np.where(row == up, UP, LEFT))
+            way = np.where(row == diagonal, DIAGONAL, np.where(row == up, UP, LEFT)).astype(np.uint8)
             if self.local:
-                choice[i][row <= 0] = STOP
-                if (top := row.max(initial=0)) > best:
-                    best, at = top, (i, int(row.argmax()))
+                way[row <= 0] = STOP
+                at = row.argmax(axis=1)
+                top = row[every, at]
+                better = top > best
+                best[better] = top[better]
+                end[better, 0], end[better, 1] = i, at[better]
             else:
-                choice[i, 0], up_len[i, 0] = UP, i
-        if not self.local:
-            best, at = row[m] if n or m else np.float32(0), (n, m)
-        return self._trace(a.upper(), b.upper(), float(best), at, choice, up_len, left_len)
-
-    def _trace(self, a: str, b: str, score: float, at: tuple[int, int], choice: np.ndarray, up_len: np.ndarray, left_len: np.ndarray) -> Aligned:
-        i, j = at
+                way[:, 0] = UP
+                cell[:, 0] = UP_EXTENDED if i > 1 else 0
+                last = sizes[:, 0] == i
+                best[last] = row[last, sizes[last, 1]]
+            cells[i] = cell | way
+        return [self._trace(a, b, float(best[k]), *end[k].tolist(), cells[:, k]) for k, (a, b) in enumerate(texts)]
+
+    def _trace(self, a: str, b: str, score: float, i: int, j: int, cells: np.ndarray) -> Aligned:
         one, two = [], []
-        while (i or j) and choice[i, j] != STOP:
-            if choice[i, j] == DIAGONAL:
+        while (i or j) and (way := cells[i, j] & 3) != STOP:
+            if way == DIAGONAL:
                 i, j = i - 1, j - 1
                 one.append(a[i])
                 two.append(b[j])
-            elif choice[i, j] == UP:
-                k = int(up_len[i, j])
+            elif way == UP:
+                k = 1
+                while cells[i - k + 1, j] & UP_EXTENDED:
+                    k += 1
                 one += reversed(a[i - k : i])
                 two += GAP * k
                 i -= k
             else:
-                k = int(left_len[i, j])
+                k = 1
+                while cells[i, j - k + 1] & LEFT_EXTENDED:
+                    k += 1
                 one += GAP * k
                 two += reversed(b[j - k : j])
                 j -= k
@@ -132,7 +169,7 @@ def align_pairs(pairs: DataFrame, a: str, b: str, keep: list[str], scores: Score
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(scores, open_, extend, local)
         for batch in batches:
-            found = [aligner.align(x, y) for x, y in zip(batch["_a"].to_pylist(), batch["_b"].to_pylist())]
+            found = aligner.align_many(list(zip(batch["_a"].to_pylist(), batch["_b"].to_pylist())))
             made = [pa.array([getattr(f, n) for f in found], out.field(n).type) for n in names]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *made], schema=out)
 
@@ -184,14 +221,18 @@ _PURINES, _PYRIMIDINES = ["A", "G"], ["C", "T"]
 
 
 def kimura_distance(a: Column, b: Column, clip: float | None = 10.0, undefined: float = 10.0) -> Column:
-    """Two-parameter distance over columns of single bases; ``undefined`` where a logarithm has no value."""
+    """Two-parameter distance over columns without a gap; ``undefined`` where a logarithm has no value.
+
+    Purine for purine or pyrimidine for pyrimidine is a transition; every other change, those of ambiguity
+    letters too, counts as a transversion.
+    """
     c = _columns(a, b)
-    known = lambda x: x["p"].isin(_PURINES + _PYRIMIDINES) & x["q"].isin(_PURINES + _PYRIMIDINES)
-    kind = lambda x: x["p"].isin(_PURINES) == x["q"].isin(_PURINES)
-    n = _count(c, known)
+    kind = lambda x: (x["p"].isin(_PURINES) & x["q"].isin(_PURINES)) | (x["p"].isin(_PYRIMIDINES) & x["q"].isin(_PYRIMIDINES))
+    changed = lambda x: _paired(x) & (x["p"] != x["q"])
+    n = _count(c, _paired)
     some = F.nullif(n, F.lit(0.0))
-    p = _count(c, lambda x: known(x) & (x["p"] != x["q"]) & kind(x)) / some
-    q = _count(c, lambda x: known(x) & ~kind(x)) / some
+    p = _count(c, lambda x: changed(x) & kind(x)) / some
+    q = _count(c, lambda x: changed(x) & ~kind(x)) / some
     one, two = F.lit(1.0) - 2 * p - q, F.lit(1.0) - 2 * q
     d = F.when((n > 0) & (one > 0) & (two > 0), -0.5 * F.log(one) - 0.25 * F.log(two)).otherwise(F.lit(undefined))
     return d if clip is None else F.least(d, F.lit(clip))

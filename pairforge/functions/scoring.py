@@ -1,14 +1,17 @@
 """Score tables for alignments, as (a, b) -> score over symbols.
 
-Nucleotide tables follow from a match and a mismatch score and the sets of bases that the IUPAC
-ambiguity letters stand for; any other table can be read from text.
+The nucleotide table with ambiguity letters (NUC.4.4, also known as EDNAFULL) follows from how the sets
+of bases that two letters stand for lie to each other. Any other table, as those for proteins, is read
+from a file in the usual text form.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 #: The bases of the IUPAC nucleotide letters. Fixed values.
 BASES = {
-    "A": "A", "T": "T", "G": "G", "C": "C", "S": "GC", "W": "AT", "R": "AG", "Y": "CT", "K": "GT", "M": "AC", "B": "CGT", "V": "ACG", "H": "ACT", "D": "AGT", "N": "ACGT",
+    "A": "A", "T": "T", "U": "T", "G": "G", "C": "C", "S": "GC", "W": "AT", "R": "AG", "Y": "CT", "K": "GT", "M": "AC", "B": "CGT", "V": "ACG", "H": "ACT", "D": "AGT", "N": "ACGT",
 }
 
 Scores = dict[tuple[str, str], float]
@@ -18,20 +21,44 @@ def identity(symbols: str = "ABCDEFGHIJKLMNOPQRSTUVWXYZ*", match: float = 1.0, m
     return {(a, b): match if a == b else mismatch for a in symbols for b in symbols}
 
 
-def nucleotide(match: float = 5.0, mismatch: float = -4.0) -> Scores:
-    """Match and mismatch for single bases; letters that share bases score the rounded mean over their bases."""
+#: Scores by the numbers of bases that the two letters stand for, the lesser first: where one set holds the other,
+#: where they share some bases, and where they share none. Fixed values.
+SCORES_BY_SETS = {
+    (1, 1): (5, None, -4), (1, 2): (1, None, -4), (1, 3): (-1, None, -4), (1, 4): (-2, None, None),
+    (2, 2): (-1, -2, -4), (2, 3): (-1, -3, None), (2, 4): (-1, None, None),
+    (3, 3): (-1, -2, None), (3, 4): (-1, None, None), (4, 4): (-1, None, None),
+}
+
+
+def nucleotide() -> Scores:
+    """Scores of the 16 nucleotide letters."""
     out = {}
     for a, x in BASES.items():
         for b, y in BASES.items():
-            if len(x) == len(y) == 1:
-                out[a, b] = match if a == b else mismatch
-            else:
-                hits = sum(p == q for p in x for q in y)
-                mean = (hits * match + (len(x) * len(y) - hits) * mismatch) / (len(x) * len(y))
-                out[a, b] = float(round(mean)) if hits else mismatch
+            small, large = sorted((set(x), set(y)), key=len)
+            held, some, none = SCORES_BY_SETS[len(small), len(large)]
+            out[a, b] = float(held if small <= large else some if small & large else none)
     return out
 
 
+def named(name: str, molecule: str = "dna", folder: str | None = None) -> Scores:
+    """A score table by name: EDNAFULL, IDENTITY, or a file ``folder/name`` in text form, as those of proteins.
+
+    ``molecule`` is dna, rna or protein; nucleotide tables are not for proteins.
+    """
+    if molecule not in ("dna", "rna", "protein"):
+        raise ValueError(f"no molecule type {molecule!r}")
+    if name.upper() == "IDENTITY":
+        return identity()
+    if name.upper() in ("EDNAFULL", "NUC.4.4"):
+        if molecule == "protein":
+            raise ValueError(f"{name} is a table of nucleotides")
+        return nucleotide()
+    if folder is None or not (path := Path(folder) / name).is_file():
+        raise ValueError(f"no table {name!r}; give the folder that has its file")
+    return parse(path.read_text())
+
+
 def parse(text: str) -> Scores:
     """A table in text: # comments, a header of symbols, then rows of a symbol and its scores."""
     rows = [x.split() for x in text.splitlines() if x.strip() and not x.lstrip().startswith("#")]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions import alignment as A
 from pairforge.functions import special
-from pairforge.functions.scoring import identity, nucleotide, parse
+from pairforge.functions.scoring import identity, named, nucleotide, parse
 from pairforge.sources import fasta, matrix, points
 
 
@@ -58,7 +58,18 @@ def test_known_alignments():
 
 def test_score_tables():
     t = nucleotide()
-    assert (t["A", "A"], t["A", "C"], t["A", "R"], t["A", "N"]) == (5, -4, 0, -2)
+    assert (t["A", "A"], t["A", "C"], t["A", "R"], t["A", "N"]) == (5, -4, 1, -2)
+    # Rows of the published table. Fixed values.
+    published = {
+        "A": "5 -4 -4 -4 -4 1 1 -4 -4 1 -4 -1 -1 -1 -2 -4", "S": "-4 -4 1 1 -1 -4 -2 -2 -2 -2 -1 -1 -3 -3 -1 -4", "Y": "-4 1 -4 1 -2 -2 -4 -1 -2 -2 -1 -3 -1 -3 -1 1",
+        "B": "-4 -1 -1 -1 -1 -3 -3 -1 -1 -3 -1 -2 -2 -2 -1 -1", "N": "-2 -2 -2 -2 -1 -1 -1 -1 -1 -1 -1 -1 -1 -1 -1 -2", "U": "-4 5 -4 -4 -4 1 -4 1 1 -4 -1 -4 -1 -1 -2 5",
+    }
+    for a, row in published.items():
+        assert [t[a, b] for b in "ATGCSWRYKMBVHDNU"] == list(map(float, row.split()))
+    assert named("EDNAFULL") == t and named("identity", "protein") == identity()
+    for wrong in (("EDNAFULL", "protein"), ("BLOSUM62", "protein"), ("EDNAFULL", "lipid")):
+        with pytest.raises(ValueError):
+            named(*wrong)
     assert identity("AB")["A", "B"] == 0
     assert parse("# note\n A C\nA 1 -1\nC -1 2\n") == {("A", "A"): 1, ("A", "C"): -1, ("C", "A"): -1, ("C", "C"): 2}
     with pytest.raises(ValueError):
