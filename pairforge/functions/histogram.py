@@ -7,22 +7,19 @@ from pyspark.sql import functions as F
 
 
 def rounded_bin_size(size: Column) -> Column:
-    """A bin size rounded up to two digits; 0 stays 0."""
-    power = F.pow(F.lit(10.0), F.lit(1) - F.floor(F.log10(F.abs(size))))
-    # The small slack keeps sizes that already have two digits from moving up by rounding noise.
-    return F.when(size == 0, F.lit(0.0)).otherwise(F.ceil(size * power - 1e-9) / power)
+    """A bin size rounded up to two digits; sizes of at most 1e-9 or above 1e10 stay."""
+    power = F.pow(F.lit(10.0), F.lit(1) - F.floor(F.log10(size)))
+    return F.when((size <= 1e-9) | (size > 1e10), size).otherwise(F.ceil(F.least(size * power, F.lit(100.0))) / power)
 
 
 def pretty_range(low: Column, high: Column, bins: int) -> tuple[Column, Column]:
-    """(start, bin size): a rounded bin size, and a start that is a multiple of it at or below ``low``.
+    """(start, bin size): the least value with its amount rounded up to two digits, and a rounded bin size from there.
 
-    The bin grows where the last value would fall beyond the last bin. With high <= low: (low, 0).
+    A positive start may lie above ``low``: values below it are in bin 0. With high <= low: (low, 0).
     """
-    first = rounded_bin_size((high - low) / bins)
-    start = F.floor(low / first) * first
-    size = F.when(start + first * bins < high, rounded_bin_size((high - start) / bins)).otherwise(first)
-    flat = high <= low
-    return F.when(flat, low).otherwise(F.floor(low / size) * size), F.when(flat, F.lit(0.0)).otherwise(size)
+    amount = rounded_bin_size(F.abs(low))
+    start = F.when(high <= low, low).when(F.abs(low) < 1e-9, F.lit(0.0)).when(low < 0, -amount).otherwise(amount)
+    return start, F.when(high <= low, F.lit(0.0)).otherwise(rounded_bin_size((high - start) / bins))
 
 
 def bin_number(value: Column, low: Column, size: Column, bins: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -61,3 +61,10 @@ def stored_distance(raw: Column, full_scale: int = 32767, squared: bool = False)
 def quantised(d: Column, full_scale: int = 32767) -> Column:
     """A distance as a 16-bit number, clipped to its range."""
     return F.floor(F.least(F.greatest(d, F.lit(0.0)), F.lit(1.0)) * full_scale).cast("smallint")
+
+
+def matrix_blocks(cells: DataFrame, rows: int, cols: int, transposed: bool = False) -> DataFrame:
+    """(row_block, col_block, i, j, v): the cells (i, j, v) of a matrix with the numbers of their blocks, transposed on demand."""
+    i, j = (F.col("j"), F.col("i")) if transposed else (F.col("i"), F.col("j"))
+    height, width = (cols, rows) if transposed else (rows, cols)
+    return cells.select(F.floor(i / height).alias("row_block"), F.floor(j / width).alias("col_block"), i.cast("long").alias("i"), j.cast("long").alias("j"), "v")

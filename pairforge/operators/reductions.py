@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 ELEMENTWISE = {"sum": F.sum, "max": F.max, "min": F.min, "mean": F.avg}
 
 
-def elementwise(df: DataFrame, vector: str, how: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by ..., pos, value): ``how`` over each position of the vectors, over all rows or per group."""
+def elementwise(df: DataFrame, vector: str, how: str, by: tuple[str, ...] = (), dim: int | None = None) -> DataFrame:
+    """(by ..., pos, value): ``how`` over each position of the vectors, over all rows or per group.
+
+    With a known ``dim`` one aggregate for each position, so that a row stays a row; else the positions are rows.
+    """
+    if dim:
+        wide = df.groupBy(*by).agg(*(ELEMENTWISE[how](F.get(vector, i)).alias(f"p{i}") for i in range(dim)))
+        return wide.select(*by, F.posexplode(F.array(*(f"p{i}" for i in range(dim)))).alias("pos", "value"))
     return df.select(*by, F.posexplode(vector).alias("pos", "value")).groupBy(*by, "pos").agg(ELEMENTWISE[how]("value").alias("value"))
 
 
