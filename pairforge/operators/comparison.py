@@ -6,10 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def numbered(rows: DataFrame, order: str, name: str, buckets: int = 64) -> DataFrame:
+    """Adds ``name``: the place of each row in the order of a whole-number column, from 0; ranges are numbered apart.
+
+    Rows are dealt to ranges of the column; only the sizes of ranges pass through one task.
+    """
+    span = rows.agg(F.min(order).alias("low_"), F.max(order).alias("high_"))
+    place = F.least(F.floor((F.col(order) - F.col("low_")) / F.greatest((F.col("high_") - F.col("low_") + 1) / buckets, F.lit(1e-9))), F.lit(buckets - 1))
+    dealt = rows.join(F.broadcast(span)).withColumn("range_", place).drop("low_", "high_")
+    sizes = dealt.groupBy("range_").agg(F.count("*").alias("n_"))
+    before = F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1))
+    begins = sizes.select("range_", F.coalesce(before, F.lit(0)).alias("begins_"))
+    number = F.row_number().over(Window.partitionBy("range_").orderBy(order)) - 1
+    return dealt.withColumn("own_", number).join(F.broadcast(begins), "range_").withColumn(name, (F.col("begins_") + F.col("own_")).cast("long")).drop("range_", "own_", "begins_")
+
+
 def reindex(labels: DataFrame, cluster: str = "cluster") -> DataFrame:
     """(cluster, dense, n): cluster ids numbered densely in ascending order, with their sizes."""
     sizes = labels.where((F.col(cluster) >= 0)).groupBy(F.col(cluster).alias("cluster")).agg(F.count("*").alias("n"))
-    return sizes.withColumn("dense", F.row_number().over(Window.orderBy("cluster")).cast("long") - 1)
+    return numbered(sizes, "cluster", "dense").select("cluster", "dense", "n")
 
 
 def size_histogram(sizes: DataFrame) -> DataFrame:
@@ -51,5 +66,6 @@ def trimmed(histogram: DataFrame, bin_col: str = "bin", count: str = "n") -> Dat
 def singletons_for_noise(labels: DataFrame, noise: int = 0) -> DataFrame:
     """Noise points become clusters of their own, numbered after the others in order of their ids."""
     top = labels.agg(F.max("cluster").alias("top"))
-    number = F.row_number().over(Window.partitionBy(F.col("cluster") == noise).orderBy("id"))
-    return labels.join(F.broadcast(top)).select("id", F.when(F.col("cluster") == noise, F.col("top") + number).otherwise(F.col("cluster")).alias("cluster"))
+    alone = numbered(labels.where(F.col("cluster") == noise).select("id"), "id", "number")
+    own = alone.join(F.broadcast(top)).select("id", (F.col("top") + F.col("number") + 1).alias("cluster"))
+    return labels.where(F.col("cluster").isNull() | (F.col("cluster") != noise)).select("id", "cluster").unionByName(own)

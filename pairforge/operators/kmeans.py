@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairforge.functions import vector as V
+from pairforge.operators import pairs as P
 from pairforge.operators import reductions as R
-from pairforge.session import stage
+from pairforge.session import discard, stage
 
-#: Centers that may be broadcast at once: k x dimensions numbers.
+#: Numbers of centers that are broadcast at once.
 MOST_CENTER_VALUES = 5_000_000
 
 
@@ -21,21 +22,25 @@ def means(points: DataFrame, k_col: str = "k") -> DataFrame:
     return per.groupBy(F.col(k_col).alias("k")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda e: e["value"]).alias("y"))
 
 
-def assign(points: DataFrame, centers: DataFrame, dim: int | None = None) -> DataFrame:
-    """(id, x, k, d): the nearest center of each point, the lowest number on ties.
+def assign(points: DataFrame, centers: DataFrame, dim: int | None = None, most_values: int = MOST_CENTER_VALUES) -> DataFrame:
+    """(id, x, k, d): the nearest center of each row, the lowest number on ties; repeated ids are rows of their own.
 
-    The centers are gathered into one row of k vectors, whose size is checked before it is broadcast;
-    each point then looks through them in one expression, so points are neither multiplied nor moved.
+    Centers are gathered into rows of at most about ``most_values`` numbers, which are broadcast one after
+    the other; each point looks through one in an expression and keeps the best so far, so points are
+    neither multiplied nor moved. With several rows the state is written after each.
     """
     size = centers.agg(F.sum(F.size("y"))).first()[0] or 0
-    if size > MOST_CENTER_VALUES:
-        crossed = points.withColumn("part", F.lit(0)).join(centers.withColumn("part", F.lit(0)), "part").withColumn("d", V.distance(F.col("x"), F.col("y"), dim))
-        best = crossed.groupBy("id").agg(F.min(F.struct("d", "k")).alias("best"))
-        return points.join(best, "id").select("id", "x", F.col("best.k").alias("k"), F.col("best.d").alias("d"))
-    rows = centers.agg(F.sort_array(F.collect_list(F.struct("k", "y"))).alias("all_centers"))
-    measured = F.transform("all_centers", lambda c: F.struct(V.distance(F.col("x"), c["y"], dim).alias("d"), c["k"].alias("k")))
-    best = points.join(F.broadcast(rows)).select("id", "x", F.array_min(measured).alias("best"))
-    return best.select("id", "x", F.col("best.k").alias("k"), F.col("best.d").alias("d"))
+    parts = max(1, -(-size // most_values))
+    at = points.select("id", "x", F.lit(None).cast(f"struct<d:double,k:{centers.schema['k'].dataType.simpleString()}>").alias("best"))
+    for part in range(parts):
+        some = centers if parts == 1 else centers.where(F.pmod(F.xxhash64("k"), F.lit(parts)) == part)
+        rows = some.agg(F.sort_array(F.collect_list(F.struct("k", "y"))).alias("some_centers"))
+        measured = F.transform("some_centers", lambda c: F.struct(V.distance(F.col("x"), c["y"], dim).alias("d"), c["k"].alias("k")))
+        before, at = at, at.join(F.broadcast(rows)).select("id", "x", F.least("best", F.array_min(measured)).alias("best") if part else F.array_min(measured).alias("best"))
+        if parts > 1:
+            at = stage(points.sparkSession, at, "nearest")
+            discard(before if part else None)
+    return at.select("id", "x", F.col("best.k").alias("k"), F.col("best.d").alias("d"))
 
 
 def center_stats(assigned: DataFrame) -> DataFrame:
@@ -86,9 +91,9 @@ def fit(points: DataFrame, start: DataFrame, cut: float = 0.001, extra: int = 11
 
 
 def center_pairs(centers: DataFrame) -> DataFrame:
-    """(a, b, d): each center with every other."""
-    a, b = centers.select(F.lit(0).alias("all"), F.col("k").alias("a"), F.col("y").alias("ya")), centers.select(F.lit(0).alias("all"), F.col("k").alias("b"), F.col("y").alias("yb"))
-    return a.join(b, "all").where("a <> b").select("a", "b", V.distance(F.col("ya"), F.col("yb")).alias("d"))
+    """(a, b, d): each center with every other, over a grid of blocks."""
+    half = P.half_pairs(centers.select("k", "y"), ["y"], "k").select("i", "j", V.distance(F.col("y_i"), F.col("y_j")).alias("d"))
+    return P.mirrored(half).select(F.col("i").alias("a"), F.col("j").alias("b"), "d")
 
 
 def nearest_centers(centers: DataFrame, k: int) -> DataFrame:

@@ -51,8 +51,17 @@ def block_pairs(left: DataFrame, right: DataFrame, blocks: int, condition: Colum
     return a.join(b, ["row_block", "col_block"])
 
 
-def half_pairs(points: DataFrame, payload: list[str], id_col: str = "id", blocks: int = 8) -> DataFrame:
-    """Each unordered pair of distinct ids once: (row_block, col_block, i, j, payload_i, payload_j)."""
+#: Points of a block, and the least number of blocks.
+BLOCK_POINTS, LEAST_BLOCKS = 1000, 4
+
+
+def half_pairs(points: DataFrame, payload: list[str], id_col: str = "id", blocks: int | None = None) -> DataFrame:
+    """Each unordered pair of distinct ids once: (row_block, col_block, i, j, payload_i, payload_j).
+
+    There are as many blocks as keep each at about BLOCK_POINTS points, whatever their number.
+    """
+    if blocks is None:
+        blocks = max(LEAST_BLOCKS, -(-points.count() // BLOCK_POINTS))
     block = F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block")
     a = points.select(block, F.col(id_col).alias("i"), *(F.col(p).alias(f"{p}_i") for p in payload))
     b = points.select(block, F.col(id_col).alias("j"), *(F.col(p).alias(f"{p}_j") for p in payload))
@@ -62,8 +71,9 @@ def half_pairs(points: DataFrame, payload: list[str], id_col: str = "id", blocks
 
 
 def mirrored(edges: DataFrame) -> DataFrame:
-    """Half a symmetric matrix (i, j, d) with its transpose."""
-    return edges.select("i", "j", "d").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+    """Half a symmetric matrix (i, j, d) with its transpose; each row is made once and gives both."""
+    both = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    return edges.select("d", F.explode(both).alias("e")).select("e.i", "e.j", "d")
 
 
 def remaining_blocks(blocks: DataFrame, done: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairforge.functions import vector as V
+from pairforge.operators import pairs as P
 from pairforge.operators import reductions as R
 from pairforge.session import stage
 
@@ -90,9 +91,9 @@ def occupation(members: DataFrame) -> DataFrame:
 
 def close_centers(centers: DataFrame, cut: float) -> DataFrame:
     """(a, b, d2): pairs of centers nearer than the cut, a < b."""
-    a = centers.select(F.lit(0).alias("g"), F.col("k").alias("a"), F.col("y").alias("ya"))
-    b = centers.select(F.lit(0).alias("g"), F.col("k").alias("b"), F.col("y").alias("yb"))
-    return a.join(b, "g").where("a < b").select("a", "b", V.squared_distance(F.col("ya"), F.col("yb")).alias("d2")).where(F.col("d2") < cut)
+    half = P.half_pairs(centers.select("k", "y"), ["y"], "k")
+    near = half.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), V.squared_distance(F.col("y_i"), F.col("y_j")).alias("d2"))
+    return near.where(F.col("d2") < cut)
 
 
 def initial_state(points: DataFrame) -> DataFrame:
