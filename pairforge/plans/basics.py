@@ -34,7 +34,7 @@ def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_means(pts: DataFrame) -> DataFrame:
     """(k, y): the mean vector of each label."""
-    means = R.elementwise(pts, "x", "mean", ("label",))
+    means = R.elementwise(pts, "x", "mean", ("label",), DIM)
     return means.groupBy(F.col("label").alias("k")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda e: e["value"]).alias("y"))
 
 
@@ -56,7 +56,8 @@ def partition_by_length(spark, sf):
 
 def block_grid(spark, sf):
     k = points(spark, sf).select(F.pmod("id", F.lit(6)).alias("k")).distinct()
-    grid = P.block_pairs(k.select(F.lit(0).cast("long").alias("block"), F.col("k").alias("row_block_")), k.select(F.lit(0).cast("long").alias("block"), F.col("k").alias("col_block_")), 1)
+    block = F.pmod("k", F.lit(3)).cast("long").alias("block")
+    grid = P.block_pairs(k.select(block, F.col("k").alias("row_block_")), k.select(block, F.col("k").alias("col_block_")), 3)
     return grid.select(F.col("row_block_").alias("r"), F.col("col_block_").alias("c"), P.chosen_block(F.col("row_block_"), F.col("col_block_")).alias("chosen"))
 
 
@@ -70,14 +71,13 @@ def restart_blocks(spark, sf):
 
 
 def matrix_gather(spark, sf):
-    small = distances(spark, sf).where("i < 20 and j < 20")
-    return P.matrix_rows(small).select("i", F.size("row").cast("long").alias("n"), r6(F.aggregate("row", F.lit(0.0), lambda a, b: a + b), "total"), r6(F.col("row")[0], "first"))
+    return P.matrix_rows(distances(spark, sf)).select("i", F.size("row").cast("long").alias("n"), r6(F.aggregate("row", F.lit(0.0), lambda a, b: a + b), "total"), r6(F.col("row")[0], "first"))
 
 
 def range_intersection(spark, sf):
     n = points(spark, sf)
-    of = lambda k, p: n.withColumn("n", F.lit(1)).select("id").groupBy(F.floor(F.col("id") / k).alias("g")).agg(F.min("id").alias(f"s{p}"), F.max("id").alias(f"e{p}")).select(F.lit(0).cast("long").alias("block"), f"s{p}", f"e{p}")
-    both = P.block_pairs(of(70, "a"), of(110, "b"), 1)
+    of = lambda k, p: n.withColumn("n", F.lit(1)).select("id").groupBy(F.floor(F.col("id") / k).alias("g")).agg(F.min("id").alias(f"s{p}"), F.max("id").alias(f"e{p}")).select(F.pmod("g", F.lit(4)).cast("long").alias("block"), f"s{p}", f"e{p}")
+    both = P.block_pairs(of(70, "a"), of(110, "b"), 4)
     meet, start, end = P.intersection(F.col("sa"), F.col("ea"), F.col("sb"), F.col("eb"))
     return both.where(meet).select("sa", "sb", start.alias("start_at"), end.alias("end_at"))
 
@@ -102,7 +102,7 @@ def scaled_distance_to_centers(spark, sf):
 
 
 def euclidean_pairs(spark, sf):
-    return half_distances(spark, sf).where("i < 60 and j < 60").select(F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j"), r6("d"))
+    return half_distances(spark, sf).select(F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j"), r6("d"))
 
 
 def position_sigma(spark, sf):
@@ -113,8 +113,7 @@ def position_sigma(spark, sf):
 
 
 def quantised_distance(spark, sf):
-    d = half_distances(spark, sf).where("i < 60 and j < 60")
-    q = d.select(F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j"), V.quantised(F.col("d") / 3).cast("int").alias("raw"))
+    q = half_distances(spark, sf).select(F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j"), V.quantised(F.col("d") / 3).cast("int").alias("raw"))
     return q.select("i", "j", F.col("raw").cast("long").alias("raw"), r6(V.stored_distance(F.col("raw")), "d"), r6(V.stored_distance(F.col("raw"), squared=True), "d2"))
 
 
@@ -125,10 +124,10 @@ def dot_and_combination(spark, sf):
     return both.select("id", r6(V.dot(F.col("x"), F.col("y")), "dot"), r6(F.aggregate(mix, F.lit(0.0), lambda a, b: a + b), "mix_sum"))
 
 
-def transposed_block(spark, sf):
+def transposed_blocks(spark, sf):
+    """The whole matrix by blocks of 20 rows and 8 columns, each transposed."""
     cells = points(spark, sf).select(F.col("id").alias("i"), F.posexplode("x").alias("j", "v"))
-    block = cells.where("i between 10 and 29 and j between 4 and 11")
-    return block.select(F.col("j").cast("long").alias("i"), F.col("i").alias("j"), r6("v"))
+    return V.matrix_blocks(cells, 20, 8, transposed=True).select("row_block", "col_block", "i", "j", r6("v"))
 
 
 def _items(spark, sf):
@@ -157,12 +156,12 @@ def bin_counts_2d(spark, sf):
 
 def vector_reductions(spark, sf):
     pts = points(spark, sf)
-    s, m, a = (R.elementwise(pts, "x", how).withColumnRenamed("value", how) for how in ("sum", "max", "mean"))
+    s, m, a = (R.elementwise(pts, "x", how, dim=DIM).withColumnRenamed("value", how) for how in ("sum", "max", "mean"))
     return s.join(m, "pos").join(a, "pos").select(F.col("pos").cast("long").alias("pos"), r6("sum", "total"), r6("max", "largest"), r6("mean", "average"))
 
 
 def group_vector_sum(spark, sf):
-    return R.elementwise(points(spark, sf), "x", "sum", ("label",)).select("label", F.col("pos").cast("long").alias("pos"), r6("value"))
+    return R.elementwise(points(spark, sf), "x", "sum", ("label",), DIM).select("label", F.col("pos").cast("long").alias("pos"), r6("value"))
 
 
 def indexed_sum(spark, sf):
@@ -191,7 +190,7 @@ QUERIES = {
     "pairs_range_split": partition_ranges, "pairs_length_split": partition_by_length, "pairs_block_grid": block_grid, "pairs_all_mirrored": all_pairs_mirrored,
     "pairs_restart_blocks": restart_blocks, "pairs_matrix_gather": matrix_gather, "pairs_range_intersection": range_intersection, "pairs_membership_pass": membership_pass,
     "vector_scaled_distance": scaled_distance_to_centers, "vector_euclidean_pairs": euclidean_pairs, "vector_position_sigma": position_sigma,
-    "vector_quantised_distance": quantised_distance, "vector_dot_combination": dot_and_combination, "matrix_transposed_block": transposed_block,
+    "vector_quantised_distance": quantised_distance, "vector_dot_combination": dot_and_combination, "matrix_transposed_blocks": transposed_blocks,
     "reduce_bool": bool_or, "reduce_sums": sums_and_means, "reduce_mean_sigma": mean_sigma, "reduce_histogram": bin_counts, "reduce_histogram_2d": bin_counts_2d,
     "reduce_vectors": vector_reductions, "reduce_group_vectors": group_vector_sum, "reduce_indexed_sum": indexed_sum, "reduce_min_max_index": min_max_with_index,
     "reduce_k_smallest": k_smallest, "reduce_k_smallest_remainder": k_smallest_remainder, "reduce_correlation": correlation,
@@ -199,25 +198,25 @@ QUERIES = {
 
 _GRID = "k AS (SELECT DISTINCT vec_id % 6 AS k FROM embeddings), grid AS (SELECT a.k AS r, b.k AS c, (a.k = b.k OR (a.k > b.k AND (a.k + b.k) % 2 = 0) OR (a.k < b.k AND (a.k + b.k) % 2 = 1)) AS chosen FROM k a CROSS JOIN k b)"
 _BASE = "[" + ", ".join(str(0.5 + 0.01 * i) for i in range(DIM)) + "]"
-_SMALL = "SELECT i, j, d FROM dist WHERE i > j AND i < 60"
+_LOWER = "SELECT i, j, d FROM dist WHERE i > j"
 ORACLE_SQL = {
     "pairs_range_split": "SELECT vec_id AS id, CAST(ntile(7) OVER (ORDER BY vec_id) - 1 AS BIGINT) AS part FROM embeddings",
     "pairs_length_split": "SELECT vec_id AS id, CAST(floor(vec_id / 90) AS BIGINT) AS part FROM embeddings",
     "pairs_block_grid": f"WITH {_GRID} SELECT r, c, chosen FROM grid",
     "pairs_all_mirrored": f"WITH {DIST} SELECT i, count(*) AS n, round(sum(d), 6) AS total, round(min(d), 6) AS nearest, round(max(d), 6) AS farthest FROM dist GROUP BY i",
     "pairs_restart_blocks": f"WITH {_GRID} SELECT r AS row_block, c AS col_block FROM grid WHERE chosen AND r >= 2",
-    "pairs_matrix_gather": f"WITH {DIST} SELECT i, count(*) AS n, round(sum(d), 6) AS total, round(arg_min(d, j), 6) AS first FROM dist WHERE i < 20 AND j < 20 GROUP BY i",
+    "pairs_matrix_gather": f"WITH {DIST} SELECT i, count(*) AS n, round(sum(d), 6) AS total, round(arg_min(d, j), 6) AS first FROM dist GROUP BY i",
     "pairs_range_intersection": """WITH a AS (SELECT min(vec_id) AS sa, max(vec_id) AS ea FROM embeddings GROUP BY floor(vec_id / 70)), b AS (SELECT min(vec_id) AS sb, max(vec_id) AS eb FROM embeddings GROUP BY floor(vec_id / 110))
 SELECT sa, sb, greatest(sa, sb) AS start_at, least(ea, eb) AS end_at FROM a JOIN b ON greatest(sa, sb) <= least(ea, eb)""",
     "pairs_membership_pass": f"WITH {DIST} SELECT i, p.label AS k, round(sum(d), 6) AS b FROM dist JOIN pts p ON p.id = j GROUP BY i, p.label",
     "vector_scaled_distance": f"""WITH {MEANS}, s AS (SELECT p, var_pop(v) AS s FROM pos GROUP BY p),
 sq AS (SELECT pos.id, sum((pos.v - m.v) * (pos.v - m.v) / s.s) AS sq FROM pos JOIN mean_pos m ON m.label = pos.label AND m.p = pos.p JOIN s ON s.p = pos.p GROUP BY pos.id)
 SELECT id, round(sq, 6) AS sq, round(sqrt(sq), 6) AS dist FROM sq""",
-    "vector_euclidean_pairs": f"WITH {DIST} SELECT i, j, round(d, 6) AS d FROM ({_SMALL})",
+    "vector_euclidean_pairs": f"WITH {DIST} SELECT i, j, round(d, 6) AS d FROM ({_LOWER})",
     "vector_position_sigma": f"WITH {PTS}, b AS (SELECT id, x[1] AS x0, {_BASE} AS base FROM pts) SELECT id, CAST(64.0 AS DOUBLE) AS method0, round(CAST(list_sum(base) AS DOUBLE), 6) AS method1, round(CAST(list_sum(base) - base[1] + (base[1] * x0) * (base[1] * x0) AS DOUBLE), 6) AS method2 FROM b",
-    "vector_quantised_distance": f"WITH {DIST}, q AS (SELECT i, j, CAST(floor(least(greatest(d / 3, 0.0), 1.0) * 32767) AS BIGINT) AS raw FROM ({_SMALL})), u AS (SELECT *, CASE WHEN raw >= 0 AND raw < 32767 THEN raw / 32767.0::DOUBLE END AS u FROM q) SELECT i, j, raw, round(u, 6) AS d, round(u * u, 6) AS d2 FROM u",
+    "vector_quantised_distance": f"WITH {DIST}, q AS (SELECT i, j, CAST(floor(least(greatest(d / 3, 0.0), 1.0) * 32767) AS BIGINT) AS raw FROM ({_LOWER})), u AS (SELECT *, CASE WHEN raw >= 0 AND raw < 32767 THEN raw / 32767.0::DOUBLE END AS u FROM q) SELECT i, j, raw, round(u, 6) AS d, round(u * u, 6) AS d2 FROM u",
     "vector_dot_combination": f"WITH {MEANS} SELECT id, round(list_inner_product(x, y), 6) AS dot, round(2 * list_sum(x) - 0.5 * list_sum(y), 6) AS mix_sum FROM pts JOIN centers ON k = label",
-    "matrix_transposed_block": f"WITH {PTS} , c AS (SELECT id, unnest(range(64)) AS p, unnest(x) AS v FROM pts) SELECT p AS i, id AS j, round(v, 6) AS v FROM c WHERE id BETWEEN 10 AND 29 AND p BETWEEN 4 AND 11",
+    "matrix_transposed_blocks": f"WITH {PTS} , c AS (SELECT id, unnest(range(64)) AS p, unnest(x) AS v FROM pts) SELECT CAST(floor(p / 8) AS BIGINT) AS row_block, CAST(floor(id / 20) AS BIGINT) AS col_block, p AS i, id AS j, round(v, 6) AS v FROM c",
     "reduce_bool": "SELECT l_returnflag, bool_or(l_quantity > 49) AS some, bool_and(l_quantity > 0) AS every FROM lineitem GROUP BY l_returnflag",
     "reduce_sums": "SELECT CAST(sum(l_linenumber) AS BIGINT) AS int_sum, round(sum(l_quantity), 6) AS double_sum, round(avg(l_discount), 6) AS mean, round(max(l_extendedprice), 6) AS largest FROM lineitem",
     "reduce_mean_sigma": "SELECT round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS sigma FROM lineitem",

@@ -12,7 +12,7 @@ from pairforge.operators import kmeans as K
 from pairforge.operators import pairs as P
 from pairforge.operators import transforms as T
 from pairforge.plans.basics import DIM, DIST, MEANS, PTS, distances, half_distances, label_means, points, r6
-from pairforge.session import table
+from pairforge.session import stage, table
 
 
 def _scaled(spark, sf):
@@ -29,12 +29,14 @@ def distance_cut(spark, sf):
 
 
 def distance_transforms(spark, sf):
-    d = _scaled(spark, sf).where("i < 60 and j < 60")
-    return d.select("i", "j", *(r6(T.transform(F.col("d"), m, 1.7), f"t{m}") for m in (10, 11, 12)), r6(F.col("d") * F.col("d"), "squared"))
+    return _scaled(spark, sf).select("i", "j", *(r6(T.transform(F.col("d"), m, 1.7), f"t{m}") for m in (10, 11, 12)), r6(F.col("d") * F.col("d"), "squared"))
 
 
 def prune_links(spark, sf):
-    near = distances(spark, sf).where("d <= 1.05")
+    """Links are the shortest distances, twelve in a thousand."""
+    d = stage(spark, distances(spark, sf), "distances")
+    # One number.
+    near = d.join(F.broadcast(d.agg(F.percentile("d", F.lit(0.012)).alias("cut")))).where("d <= cut").select("i", "j", "d")
     return T.prune_sparse(near, 3).groupBy("i").agg(F.count("*").alias("n"))
 
 
@@ -207,8 +209,8 @@ QUERIES = {
 
 _HALF = DIST + ", half AS (SELECT i, j, d / 2 AS d FROM dist WHERE i > j)"
 _PRUNE = ", ".join(
-    f"n{k} AS (SELECT e.i, e.j FROM n{k - 1} e SEMI JOIN k{k} a ON a.i = e.i SEMI JOIN k{k} b ON b.i = e.j)".replace(f"n{k} AS", f"k{k} AS (SELECT i FROM n{k - 1} GROUP BY i HAVING count(*) > 3), n{k} AS", 1)
-    for k in (1, 2, 3)
+    f"n{k} AS MATERIALIZED (SELECT e.i, e.j FROM n{k - 1} e SEMI JOIN k{k} a ON a.i = e.i SEMI JOIN k{k} b ON b.i = e.j)".replace(f"n{k} AS", f"k{k} AS MATERIALIZED (SELECT i FROM n{k - 1} GROUP BY i HAVING count(*) > 3), n{k} AS", 1)
+    for k in range(1, 13)
 )
 _XY = PTS + ", g AS (SELECT label AS grp, x[1] AS x, x[2] AS y FROM pts), m AS (SELECT grp, avg(x) AS mx, avg(y) AS my FROM g GROUP BY grp)"
 _ASSIGN = MEANS + ", near AS (SELECT id, any_value(label) AS label, CAST(arg_min(k, struct_pack(d := list_distance(x, y), k := k)) AS BIGINT) AS k, min(list_distance(x, y)) AS d FROM pts CROSS JOIN centers GROUP BY id)"
@@ -223,7 +225,7 @@ _NEAR = MEANS + ", cc AS (SELECT CAST(a.k AS BIGINT) AS a, CAST(b.k AS BIGINT) A
 
 
 def _pretty(x: str) -> str:
-    return f"(ceil({x} * pow(10, 1 - floor(log10({x}))) - 1e-9) / pow(10, 1 - floor(log10({x}))))"
+    return f"(ceil(least({x} * pow(10, 1 - floor(log10({x}))), 100)) / pow(10, 1 - floor(log10({x}))))"
 
 
 def _cut_sql(passes: int) -> str:
@@ -258,15 +260,14 @@ def _centers_sql(k: int = 3) -> str:
 
 ORACLE_SQL = {
     "transform_cut": f"WITH {_HALF} SELECT i, count(*) AS n, count(CASE WHEN d <= 0.7 THEN 1 END) AS defined, round(sum(CASE WHEN d <= 0.7 THEN d END), 6) AS total FROM half GROUP BY i",
-    "transform_methods": f"WITH {_HALF} SELECT i, j, round(pow(least(d, 1.0), 1.7), 6) AS t10, round(1 - pow(1 - least(d, 1.0), 1.7), 6) AS t11, round(ln(1 - pow(least(d, 0.975), 1.7)) / ln(1 - pow(0.975, 1.7)), 6) AS t12, round(d * d, 6) AS squared FROM half WHERE i < 60",
-    "transform_prune_links": f"WITH {DIST}, n0 AS (SELECT i, j FROM dist WHERE d <= 1.05), {_PRUNE} SELECT i, count(*) AS n FROM n3 GROUP BY i",
+    "transform_methods": f"WITH {_HALF} SELECT i, j, round(pow(least(d, 1.0), 1.7), 6) AS t10, round(1 - pow(1 - least(d, 1.0), 1.7), 6) AS t11, round(ln(1 - pow(least(d, 0.975), 1.7)) / ln(1 - pow(0.975, 1.7)), 6) AS t12, round(d * d, 6) AS squared FROM half",
+    "transform_prune_links": f"WITH {DIST}, n0 AS MATERIALIZED (SELECT i, j FROM dist WHERE d <= (SELECT quantile_cont(d, 0.012) FROM dist)), {_PRUNE} SELECT i, count(*) AS n FROM n12 GROUP BY i",
     "transform_bin_weights": f"WITH {_HALF}, b AS (SELECT d, CAST((d >= 0.55) AS BIGINT) + CAST((d >= 0.65) AS BIGINT) + CAST((d >= 0.75) AS BIGINT) AS bin FROM half), w AS (SELECT bin, count(*) AS n, sqrt(sum(count(*)) OVER () / (4.0 * count(*))) AS w FROM b GROUP BY bin) SELECT bin, n, round(w, 6) AS w, round(n * w * w, 6) AS total FROM w",
     "select_points": "SELECT vec_id AS id, CASE WHEN vec_id IN (5, 7) OR vec_id BETWEEN 50 AND 60 THEN 'fixed' WHEN vec_id BETWEEN 0 AND 99 OR vec_id BETWEEN 150 AND 300 THEN 'varied' ELSE 'ignored' END AS role FROM embeddings",
     "weights_mean_one": "SELECT s_suppkey AS id, round((abs(s_acctbal) + 1) / avg(abs(s_acctbal) + 1) OVER (), 6) AS w FROM supplier",
     "relabel_points": "SELECT vec_id AS id, CAST(CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS BIGINT) AS cluster, CAST((vec_id >= 100) AS BIGINT) + CAST((vec_id >= 250) AS BIGINT) AS family FROM embeddings",
-    "histogram_pretty": f"""WITH s AS (SELECT min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders), f AS (SELECT low, high, {_pretty("((high - low) / 25)")} AS size FROM s),
-g AS (SELECT low, high, size, floor(low / size) * size AS start FROM f), h AS (SELECT low, CASE WHEN start + size * 25 < high THEN {_pretty("((high - start) / 25)")} ELSE size END AS size FROM g),
-r AS (SELECT size, floor(low / size) * size AS start FROM h)
+    "histogram_pretty": f"""WITH s AS (SELECT min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders), f AS (SELECT low, high, CASE WHEN low < 0 THEN -{_pretty("abs(low)")} ELSE {_pretty("abs(low)")} END AS start FROM s),
+r AS (SELECT start, {_pretty("((high - start) / 25)")} AS size FROM f)
 SELECT CAST(greatest(0, least(26, floor((o_totalprice - start) / size) + 1)) AS BIGINT) AS bin, round(start, 6) AS start, round(size, 6) AS size, count(*) AS n FROM orders CROSS JOIN r GROUP BY ALL""",
     "density_matrix": f"""WITH {PTS}, d AS (SELECT list_distance(a.x, b.x) AS a, list_distance(a.x[1:3], b.x[1:3]) AS b FROM pts a JOIN pts b ON a.id > b.id), s AS (SELECT min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1 FROM d)
 SELECT CAST(least(floor((a - a0) / ((a1 - a0) / 50)), 49) AS BIGINT) AS cx, CAST(least(floor((b - b0) / ((b1 - b0) / 50)), 49) AS BIGINT) AS cy, count(*) AS n FROM d CROSS JOIN s GROUP BY 1, 2""",

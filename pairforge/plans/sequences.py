@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pairforge.functions import alignment as A
 from pairforge.functions import special
 from pairforge.functions.scoring import nucleotide
+from pairforge.operators import pairs as P
 from pairforge.plans.basics import r6
 from pairforge.sources import points as S
 from pairforge.session import ship, table
@@ -34,7 +35,7 @@ def sequence_index(spark, sf):
 
 
 def score_table(spark, sf):
-    rows = [(a, b, float(v)) for (a, b), v in nucleotide().items() if a in "ACGT" and b in "ACGT"]
+    rows = [(a, b, float(v)) for (a, b), v in nucleotide().items()]
     return spark.createDataFrame(rows, "a string, b string, score double")
 
 
@@ -59,14 +60,24 @@ def alignment_analysis(spark, sf):
     return n.select("idx", F.size(A.gap_intervals(F.col("b"))).cast("long").alias("gaps"), F.size(A.mismatch_positions(F.col("a"), F.col("b"))).cast("long").alias("mismatches"))
 
 
+def _all_pairs(spark, sf):
+    """Each unordered pair of sequences, i > j."""
+    half = P.half_pairs(sequences(spark, sf), ["residues"], "idx")
+    swap = F.col("i") < F.col("j")
+    first, second = (F.when(swap, F.col(b)).otherwise(F.col(a)) for a, b in (("residues_i", "residues_j"), ("residues_j", "residues_i")))
+    return half.select(F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j"), first.alias("a"), second.alias("b"))
+
+
 def smith_waterman(spark, sf):
-    got = A.align_pairs(neighbours(spark, sf), "residues", "other", ["idx"])
-    return got.select("idx", F.col("score").cast("double").alias("score"), "start1", "start2", F.col("identity").cast("long").alias("identity"), "gaps", F.length("aligned1").alias("columns"), r6(A.kimura_distance(F.col("aligned1"), F.col("aligned2")), "kimura"))
+    """Local alignments of all pairs of sequences."""
+    got = A.align_pairs(_all_pairs(spark, sf), "a", "b", ["i", "j"])
+    return got.select("i", "j", F.col("score").cast("double").alias("score"), "start1", "start2", F.col("identity").cast("long").alias("identity"), "gaps", F.length("aligned1").alias("columns"), r6(A.kimura_distance(F.col("aligned1"), F.col("aligned2")), "kimura"))
 
 
 def needleman_wunsch(spark, sf):
-    got = A.align_pairs(neighbours(spark, sf), "residues", "other", ["idx"], local=False)
-    return got.select("idx", F.col("score").cast("double").alias("score"), F.col("identity").cast("long").alias("identity"), "gaps", r6(A.percent_identity(F.col("aligned1"), F.col("aligned2")), "pid"))
+    """Global alignments of all pairs of sequences."""
+    got = A.align_pairs(_all_pairs(spark, sf), "a", "b", ["i", "j"], local=False)
+    return got.select("i", "j", F.col("score").cast("double").alias("score"), F.col("identity").cast("long").alias("identity"), "gaps", r6(A.percent_identity(F.col("aligned1"), F.col("aligned2")), "pid"))
 
 
 def _lcms_lines(spark, sf):
@@ -130,7 +141,11 @@ _COLS = _PAIR + """, col AS (SELECT idx, w, a, b, unnest(range(w)) AS i FROM al)
     count(CASE WHEN p <> '-' AND q <> '-' AND p <> q AND (p IN ('A', 'G')) = (q IN ('A', 'G')) THEN 1 END) AS ts, count(CASE WHEN p <> '-' AND q <> '-' AND (p IN ('A', 'G')) <> (q IN ('A', 'G')) THEN 1 END) AS tv FROM c GROUP BY idx)"""
 ORACLE_SQL = {
     "sequence_index": f"WITH {_SEQ} SELECT idx, concat('item ', idx) AS label, length(residues) AS length, substring(residues, 3, 12) AS part FROM seq",
-    "score_table": "WITH s(x) AS (VALUES ('A'), ('C'), ('G'), ('T')) SELECT a.x AS a, b.x AS b, CAST(CASE WHEN a.x = b.x THEN 5 ELSE -4 END AS DOUBLE) AS score FROM s a CROSS JOIN s b",
+    # Letters as bits A 1, C 2, G 4, T 8.
+    "score_table": """WITH s(x, m) AS (VALUES ('A', 1), ('C', 2), ('G', 4), ('T', 8), ('U', 8), ('M', 3), ('R', 5), ('W', 9), ('S', 6), ('Y', 10), ('K', 12), ('V', 7), ('H', 11), ('D', 13), ('B', 14), ('N', 15)),
+p AS (SELECT a.x AS a, b.x AS b, least(bit_count(a.m), bit_count(b.m)) AS n, greatest(bit_count(a.m), bit_count(b.m)) AS k, bit_count(a.m & b.m) AS both_ FROM s a CROSS JOIN s b)
+SELECT a, b, CAST(CASE WHEN n = 1 THEN CASE WHEN both_ = 0 THEN -4 ELSE CASE k WHEN 1 THEN 5 WHEN 2 THEN 1 WHEN 3 THEN -1 ELSE -2 END END
+  WHEN both_ = n THEN -1 WHEN n = 2 AND k = 2 THEN CASE both_ WHEN 1 THEN -2 ELSE -4 END WHEN n = 2 THEN -3 ELSE -2 END AS DOUBLE) AS score FROM p""",
     "alignment_identities": f"WITH {_COLS} SELECT idx, round(same / w, 6) AS pid, round(same / paired, 6) AS pid_non_gap, round(same / span, 6) AS pid_overlap, round(same / w, 6) AS similarity FROM n",
     "alignment_distances": f"""WITH {_COLS}, f AS (SELECT *, ts / paired AS p, tv / paired AS q, 1 - 4.0::DOUBLE / 3 * (1 - same / paired) AS inside FROM n)
 SELECT idx, round(CASE WHEN 1 - 2 * p - q > 0 AND 1 - 2 * q > 0 THEN least(-0.5 * ln(1 - 2 * p - q) - 0.25 * ln(1 - 2 * q), 10) ELSE 10 END, 6) AS kimura, round(CASE WHEN inside > 1e-12 THEN -0.75 * ln(inside) ELSE 10 END, 6) AS jukes_cantor, round(1 - same / w, 6) AS pid_distance FROM f""",
