@@ -69,3 +69,28 @@ def singletons_for_noise(labels: DataFrame, noise: int = 0) -> DataFrame:
     alone = numbered(labels.where(F.col("cluster") == noise).select("id"), "id", "number")
     own = alone.join(F.broadcast(top)).select("id", (F.col("top") + F.col("number") + 1).alias("cluster"))
     return labels.where(F.col("cluster").isNull() | (F.col("cluster") != noise)).select("id", "cluster").unionByName(own)
+
+
+def offset_histograms(points: DataFrame, least: int, sigma: tuple[float, float], one: tuple[float, int], two: tuple[float, int]) -> DataFrame:
+    """(which, bin, n): offsets of points (grp, x, y) from their cluster's mean, over clusters of more than ``least`` points.
+
+    x and y: in units of sigma[0] times the mean x, and of sigma[1]; xy: the sum of their squares. ``one``
+    and ``two`` are (interval, bins) for these; the last bin takes what is beyond.
+    """
+    means = points.groupBy("grp").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.count("*").alias("size")).where(F.col("size") > least)
+    both = points.join(means, "grp").select(((F.col("x") - F.col("mx")) / (F.lit(sigma[0]) * F.col("mx"))).alias("u"), ((F.col("y") - F.col("my")) / F.lit(sigma[1])).alias("v"))
+    place = lambda v, how: F.least(F.floor(v / how[0]), F.lit(how[1] - 1))
+    bins = F.array(F.struct(F.lit("x").alias("which"), place(F.abs("u"), one).alias("bin")), F.struct(F.lit("y").alias("which"), place(F.abs("v"), one).alias("bin")), F.struct(F.lit("xy").alias("which"), place(F.col("u") * F.col("u") + F.col("v") * F.col("v"), two).alias("bin")))
+    return both.select(F.explode(bins).alias("b")).groupBy("b.which", "b.bin").agg(F.count("*").alias("n"))
+
+
+def golden_comparison(golden: DataFrame, methods: dict[str, DataFrame], limit: int = 0) -> DataFrame:
+    """(method, base, n, target, major, stray, target_n): each golden cluster's best match in every method, and that one's size."""
+    out = None
+    for name, found in methods.items():
+        sizes = found.where("cluster >= 0").groupBy(F.col("cluster").alias("target")).agg(F.count("*").alias("target_n"))
+        one = best_overlap(golden, found, limit).join(sizes, "target").select(F.lit(name).alias("method"), "base", "n", "target", "major", "stray", "target_n")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no method to compare")
+    return out

@@ -28,7 +28,16 @@ def logged(d: Column, p: float, most: float = 0.975) -> Column:
     return F.log(F.lit(1.0) - F.pow(x, F.lit(p))) / F.log(F.lit(1.0) - F.pow(F.lit(most), F.lit(p)))
 
 
-TRANSFORMS = {10: powered, 11: complement_powered, 12: logged}
+def four_dimensional(d: Column, root: bool = False) -> Column:
+    """The distance in four dimensions of the probability ``d``: the fixed point of E = -log d + log(1 + E), to 1e-5 in 50 steps at most."""
+    first = -F.log(d)
+    step = lambda s: F.struct((first + F.log1p(s["e"])).alias("e"), (F.abs(first + F.log1p(s["e"]) - s["e"]) < 1e-5).alias("done"))
+    start = F.struct(first.alias("e"), F.lit(False).alias("done"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(50)), start, lambda s, _: F.when(s["done"], s).otherwise(step(s)))["e"]
+    return F.sqrt(found) if root else found
+
+
+TRANSFORMS = {8: lambda d, p: four_dimensional(d), 9: lambda d, p: four_dimensional(d, True), 10: powered, 11: complement_powered, 12: logged}
 
 
 def transform(d: Column, method: int, p: float) -> Column:

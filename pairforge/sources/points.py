@@ -114,3 +114,48 @@ def plot_xml(points: DataFrame, clusters: list[tuple[int, str]], most: int = 100
         E.SubElement(p, "key").text, E.SubElement(p, "clusterkey").text = str(r["id"]), str(r["cluster"])
         E.SubElement(p, "location", x=repr(r["x"]), y=repr(r["y"]), z=repr(r["z"]))
     return E.tostring(top, encoding="unicode")
+
+
+#: Styles of point files beside key:value lines, and the property whose number each shows.
+STYLES = {"family1": "family1", "family2": "family2", "cluster": "cluster", "group": "group"}
+
+
+def style_lines(df: DataFrame, style: str, coordinates: tuple[str, ...] = ("x", "y", "z"), first: int = 0) -> DataFrame:
+    """Lines of a point file: colon (key:value of all columns), or number, coordinates (4 digits) and one of STYLES, tab-separated.
+
+    ``df`` has a column index; a style whose property is not a column has 1 in its place if it is group.
+    """
+    if style == "colon":
+        return property_lines(df, df.columns)
+    if style not in STYLES:
+        raise ValueError(f"no style {style!r}; colon or one of {sorted(STYLES)}")
+    value = F.col(style) if style in df.columns else F.lit(1) if style == "group" else None
+    if value is None:
+        raise ValueError(f"points have no {style}")
+    shown = [F.format_string("%.4E", F.col(c).cast("double")) for c in coordinates if c in df.columns]
+    return df.select(F.concat_ws("\t", (F.col("index") + first).cast("string"), *shown, value.cast("string")).alias("value"))
+
+
+def old_clusters(lines: DataFrame, dim: int) -> DataFrame:
+    """(idx, text, color) of lines of a number, ``dim`` coordinates and a color: all but the color joined by tabs; short and odd lines are skipped."""
+    p = F.filter(fields(lines), lambda v: v != "")
+    rows = lines.where(F.size(p) == dim + 2)
+    return rows.select(number(p, 0, "long").alias("idx"), F.array_join(F.slice(p, 1, dim + 1), "\t").alias("text"), F.element_at(p, -1).try_cast("double").cast("int").alias("color")).where("idx is not null")
+
+
+def center_lines(df: DataFrame) -> DataFrame:
+    """Lines of a center file from (point, measure, method, grp): the number to six places, then key=value."""
+    return df.select(F.concat(F.lit("PointNumber="), F.rpad(F.col("point").cast("string"), 6, " "), F.format_string(" Measure=%.4f Method=%s Group=%d", F.col("measure"), F.col("method"), F.col("grp"))).alias("value"))
+
+
+def alignment_lines(df: DataFrame) -> DataFrame:
+    """Four lines and an empty one for each alignment (name1, row1, name2, row2, kimura, jukes_cantor, identity)."""
+    told = F.format_string("Kimura: %.5f, JukesCantor: %.5f, PercentIdentity: %.5f", "kimura", "jukes_cantor", "identity")
+    return df.select(F.concat_ws("\n", F.concat(F.lit(">"), "name1", F.lit(" "), told), "row1", F.concat(F.lit(">"), "name2", F.lit(" "), told), "row2", F.lit("")).alias("value"))
+
+
+def alignment_score_lines(df: DataFrame) -> DataFrame:
+    """Seven lines and an empty one for each alignment (row, col, name1, row1, name2, row2, n1, n2, score, identity, identity_non_gap, self1, self2)."""
+    told = F.format_string("#PID:%.5f\tScore:%.5f\tPIDNG:%.5f\tFirst:%.1f\tSecond:%.1f", "identity", "score", "identity_non_gap", "self1", "self2")
+    head = [F.format_string("#Row:%d\tCol:%d", "row", "col"), F.format_string("#FL:%d\tSL:%d\tAL:%d", "n1", "n2", F.length("row1")), told]
+    return df.select(F.concat_ws("\n", *head, F.concat(F.lit(">"), "name1"), "row1", F.concat(F.lit(">"), "name2"), "row2", F.lit("")).alias("value"))
