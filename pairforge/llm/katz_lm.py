@@ -179,6 +179,8 @@ class Vocabulary:
         sizes = np.array([totals[b][0] if b in totals else 0 for b in range(buckets)], np.int64)
         self.first = np.cumsum(sizes) - sizes  # the id of a bucket's first word
         self.start = int(sizes.sum())  # the id of the history before a document
+        if self.start >= 1 << 32:
+            raise ValueError("2^32 distinct words or more; pairs of their ids do not fit in 64 bits")
         self.distinct, self.tokens, self.docs, self.buckets = int(sums[1]), int(sums[2]), train_docs, buckets
         n = sums[3:].tolist()
         self.d = discounts(n)

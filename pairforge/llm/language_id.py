@@ -30,7 +30,8 @@ def codes_of(text: str) -> Iterator[np.ndarray]:
         # A piece begins two characters early, so that n-grams over the seam are seen; those seen twice are left out.
         piece = text[max(0, at - 2) : at + CHARS]
         seam = at - max(0, at - 2)
-        points = np.frombuffer(piece.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        # A sigma at the end of a word has a form of its own, which depends on what stands around.
+        points = np.frombuffer(piece.replace("Σ", "σ").lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         if len(points) != len(piece):
             points = np.fromiter((ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in piece), np.int64, len(piece))
         points = np.where(_letters(points), points, 32)
@@ -164,7 +165,8 @@ def identify(df: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_i
 
     Map-side only. Null texts and texts without a letter are ``und`` with score 0, as is everything if
     there are no profiles; ties go to the first language by name. Null ids and repeated rows are kept;
-    other columns are not read.
+    other columns are not read; an empty table gives no rows. Very long texts are counted CHARS characters
+    at a time.
     """
     names = [f"keep_{i}" for i in range(len(keep))]
     picked = df.select(df[id_col].alias("id"), df[text_col].alias("text"), *(c.alias(n) for c, n in zip(keep, names)))

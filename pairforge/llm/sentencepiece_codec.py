@@ -34,6 +34,7 @@ class Model:
 
     def __init__(self, model: str = "piece_bpe_32k.model"):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2 as pb
 
         sp = sentencepiece.SentencePieceProcessor(model_file=resolve(model))
         size = sp.get_piece_size()
@@ -57,7 +58,11 @@ class Model:
         self.lines_part = self.blanks_lead and not any("\n" in x for x in self.ids)
         self.surface = [b"" if special[i] else bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else names[i].replace(BLANK, " ").encode() for i in range(size)]
         self.surface[self.unknown] = " ⁇ ".encode()
-        self.identity = sp.normalize("ﬁ  x") == BLANK + "ﬁ" + BLANK * 2 + "x"
+        proto = pb.ModelProto()
+        proto.ParseFromString(sp.serialized_model_proto())
+        spec = proto.normalizer_spec
+        # All the model's normaliser does is to write blanks its own way and to put one first.
+        self.identity = not spec.precompiled_charsmap and spec.add_dummy_prefix and spec.escape_whitespaces and not spec.remove_extra_whitespaces and not proto.trainer_spec.treat_whitespace_as_suffix
         self.normalize = sp.normalize
 
     def spelled(self, text: str) -> str:
@@ -209,7 +214,8 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 
     The best-scored segmentation, ties to the longer piece that begins first; characters without a
     piece become their UTF-8 byte pieces. A null or empty text has no ids. Null ids and repeated rows
-    are kept; other columns are not read. Map-side only.
+    are kept; other columns are not read; an empty table gives no rows. Of a very long text the window
+    holds some longest pieces, and its ids are one value of the column. Map-side only.
     """
     names, kept = _kept(df, keep)
     picked = df.select(df[id_col].alias("id"), df[text_col].alias("text"), *kept)
@@ -230,7 +236,10 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = "piece_bpe_32k.model", keep: tuple[Column, ...] = ()) -> DataFrame:
-    """One row per row of ``df``: (id, keep_0 ..., decoded); null ids give null, ids out of range the unknown mark."""
+    """One row per row of ``df``: (id, keep_0 ..., decoded); null ids give null, ids out of range the unknown mark.
+
+    Repeated rows and null ids are kept; other columns are not read; an empty table gives no rows.
+    """
     names, kept = _kept(df, keep)
     picked = df.select(df[id_col].alias("id"), df[ids_col].alias("ids"), *kept)
     types = "".join(f"{n} {picked.schema[n].dataType.simpleString()}, " for n in names)
