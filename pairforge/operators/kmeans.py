@@ -70,7 +70,7 @@ def fit(points: DataFrame, start: DataFrame, cut: float = 0.001, extra: int = 11
     Stops ``extra`` iterations after the first in which centers moved by less than ``cut`` of the mean
     radius on average; warns if ``most`` iterations end first. An empty cluster keeps its last center.
     """
-    spark, centers, left = points.sparkSession, start, None
+    spark, centers, left, before = points.sparkSession, start, None, None
     for step in range(1, most + 1):
         assigned = stage(spark, assign(points, centers, dim), f"assigned{step}")
         new = means(assigned)
@@ -79,6 +79,9 @@ def fit(points: DataFrame, start: DataFrame, cut: float = 0.001, extra: int = 11
         change = moved.agg(F.avg("moved")).first()[0]
         radius = center_stats(assigned).agg(F.avg("radius")).first()[0]
         centers = moved.select("k", "y")
+        discard(assigned)
+        discard(before)
+        before = moved
         if left is not None:
             left -= 1
         elif change is None or radius is None or change < cut * radius or change == 0:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairforge.session import stage
+from pairforge.session import discard, stage
 
 
 def cut(d: Column, longest: float) -> Column:
@@ -52,14 +52,15 @@ def prune_sparse(edges: DataFrame, links: int, rounds: int | None = None) -> Dat
     Each round is written to the shared folder; only counts reach the driver.
     """
     at, done = edges.where(F.col("d").isNotNull()), 0
-    before = None
+    before = last = None
     while rounds is None or done < rounds:
         keep = at.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") > links).select("i")
         at = at.join(keep, "i", "left_semi").join(keep.withColumnRenamed("i", "j"), "j", "left_semi").select("i", "j", "d")
         done += 1
         if rounds is None:
             at = stage(edges.sparkSession, at, "linked")
-            now = at.count()
+            discard(last)
+            last, now = at, at.count()
             if now == before:
                 break
             before = now

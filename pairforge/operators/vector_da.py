@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pairforge.functions import vector as V
 from pairforge.operators import pairs as P
 from pairforge.operators import reductions as R
-from pairforge.session import stage
+from pairforge.session import discard, stage
 
 SPONGE = -1
 #: Least prior in a membership, least size for a center to move, exponent beyond which a membership is zero.
@@ -132,15 +132,17 @@ def anneal(points: DataFrame, most: int = 8, cooling: float = 0.8, final: float
     for r in covariances(points.select("id", "x", F.lit(0).alias("k"), F.lit(1.0).alias("m")), spark.createDataFrame([(0, list(first["y"]))], "k int, y array<double>")).collect():
         whole[r["i"], r["j"]] = whole[r["j"], r["i"]] = r["v"] / n
     t0 = min(t0, 0.99 * float(np.linalg.eigvalsh(whole)[-1])) or t0
-    noise, temperature, history = None, t0, []
+    noise, temperature, history, last = None, t0, [], None
 
     def frame() -> DataFrame:
         rows = [(k, y.tolist(), float(p)) for k, (y, p) in enumerate(state)] + ([(SPONGE, None, float(noise))] if noise is not None else [])
         return spark.createDataFrame(rows, "k int, y array<double>, p double")
 
     def step() -> tuple[DataFrame, dict[int, tuple[float, float]]]:
-        nonlocal state, noise
+        nonlocal state, noise, last
         got = stage(spark, memberships(points, frame(), temperature, sponge if noise is not None else None, dim=dim), "da")
+        discard(last)
+        last = got
         sums = {r["k"]: (r["c"], r["width"]) for r in cluster_sums(got, temperature).collect()}
         if abs(sum(c for c, _ in sums.values()) - n) > 0.5:
             raise RuntimeError("memberships don't add up to the number of points")
