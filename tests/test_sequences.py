@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairforge.functions import alignment as A
 from pairforge.functions import special
 from pairforge.functions.scoring import identity, named, nucleotide, parse
+from pairforge.plans import sequences
 from pairforge.sources import fasta, matrix, points
 
 
@@ -49,6 +50,30 @@ def test_alignment_score_and_rows(local, gaps):
             assert (r.aligned1.replace("-", ""), r.aligned2.replace("-", "")) == (a, b)
 
 
+@pytest.mark.parametrize("local", [True, False])
+def test_many_alignments_equal_single_ones(local, monkeypatch):
+    rnd, aligner = random.Random(4), A.Aligner(local=local, open_=6, extend=2)
+    pairs = [tuple("".join(rnd.choice("ACGTNRY") for _ in range(rnd.choice([0, 1, 7, 30, 31]))) for _ in "ab") for _ in range(60)]
+    alone = [aligner.align(a, b) for a, b in pairs]
+    for cells in (1, 5000, 1 << 25):
+        monkeypatch.setattr(A, "CELLS", cells)
+        assert aligner.align_many(pairs) == alone
+    assert aligner.align_many([]) == []
+
+
+def test_gaps_open_on_ties():
+    """With equal penalties a new gap in either direction is as good as a longer one; both directions report the short one."""
+    aligner = A.Aligner(identity("AB", 2, -9), open_=1, extend=1, local=False)
+    for a, b in (("AAB", "A"), ("A", "AAB")):
+        r = aligner.align(a, b)
+        assert (r.score, r.gaps) == (0, 2)
+
+
+def test_all_pairs_are_aligned(spark):
+    got = sequences.smith_waterman(spark, "/root/testdata/sf0.001").collect()
+    assert {(r.i, r.j) for r in got} == {(i, j) for i in range(40) for j in range(i)} and len(got) == 780
+
+
 def test_known_alignments():
     own = A.Aligner().align("ACGTACGT", "ACGTACGT")
     assert (own.score, own.identity, own.gaps) == (40, 8, 0)
