@@ -228,6 +228,15 @@ def _pretty(x: str) -> str:
     return f"(ceil(least({x} * pow(10, 1 - floor(log10({x}))), 100)) / pow(10, 1 - floor(log10({x}))))"
 
 
+def _converged_sql(rounds: int = 45) -> str:
+    """Lloyd's updates from the first four points, more of them than any of the tables needs to settle."""
+    out = PTS + ", c0 AS MATERIALIZED (SELECT id AS k, x AS y FROM pts WHERE id < 4)"
+    for r in range(1, rounds + 1):
+        out += f""", a{r} AS MATERIALIZED (SELECT id, any_value(x) AS x, arg_min(k, struct_pack(d := list_distance(x, y), k := k)) AS k FROM pts CROSS JOIN c{r - 1} GROUP BY id),
+  m{r} AS (SELECT k, p, avg(v) AS v FROM (SELECT k, unnest(range(64)) AS p, unnest(x) AS v FROM a{r}) GROUP BY k, p), c{r} AS MATERIALIZED (SELECT k, list(v ORDER BY p) AS y FROM m{r} GROUP BY k)"""
+    return out + f", a AS (SELECT id, arg_min(k, struct_pack(d := list_distance(x, y), k := k)) AS k, round(min(list_distance(x, y)), 6) AS d FROM pts CROSS JOIN c{rounds} GROUP BY id)"
+
+
 def _cut_sql(passes: int) -> str:
     out = _XY + ", z0 AS (SELECT grp, mx AS cx, my AS cy, 0 AS inside FROM m)"
     for k in range(1, passes + 1):
@@ -276,6 +285,7 @@ SELECT CAST(least(floor((a - a0) / ((a1 - a0) / 50)), 49) AS BIGINT) AS cx, CAST
     "kmeans_assignment": f"WITH {_ASSIGN} SELECT id, k, round(d, 6) AS d FROM near",
     "kmeans_center_stats": f"WITH {_ASSIGN} SELECT k, count(*) AS n, round(max(d), 6) AS radius, round(sum(d * d), 6) AS width FROM near GROUP BY k",
     "kmeans_two_iterations": f"WITH {_LLOYD} SELECT k, count(*) AS n, round(max(d), 6) AS radius, round(sum(d * d), 6) AS width FROM a1 GROUP BY k",
+    "kmeans_converged": f"WITH {_converged_sql()} SELECT id, k, d FROM a",
     "kmeans_start": "SELECT vec_id AS id, CAST(least(floor(vec_id / greatest(1, floor((SELECT count(*) FROM embeddings) / 5))), 4) AS BIGINT) AS block, CASE WHEN vec_id < 5 THEN vec_id END AS first FROM embeddings",
     "kmeans_nearest_centers": f"WITH {_NEAR} SELECT a, b, round(d, 6) AS d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rank FROM cc QUALIFY rank <= 3",
     "kmeans_distance_histogram": f"WITH {_ASSIGN} SELECT CAST(greatest(0, least(31, floor(d / CAST(0.05 AS DOUBLE)) + 1)) AS BIGINT) AS bin, count(*) AS n FROM near GROUP BY 1",

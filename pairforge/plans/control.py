@@ -13,7 +13,7 @@ from pairforge.operators import transforms as T
 from pairforge.operators import triangle as B
 from pairforge.plans.annealing import _members
 from pairforge.plans.basics import DIM, DIST, MEANS, PTS, distances, points, r6
-from pairforge.plans.clustering import _LLOYD, _TWO, _scaled, _two
+from pairforge.plans.clustering import _LLOYD, _TWO, _converged_sql, _scaled, _two
 from pairforge.session import stage
 
 
@@ -26,11 +26,13 @@ def kmeans_bounded(spark, sf):
 
 
 def kmeans_bounded_converged(spark, sf):
-    """To the stop rule, with the share of distances that bounds saved."""
+    """To the stop rule, and whether bounds saved a third of the distances."""
     pts = points(spark, sf)
     first = pts.where("id < 4").select(F.col("id").alias("k"), F.col("x").alias("y"))
     assigned, _, steps = B.fit(pts, first)
-    return assigned.select("id", "k", r6("d"), "computed", F.lit((steps + 1) * 4).cast("long").alias("all_distances"))
+    # One number.
+    saved = assigned.agg((F.avg("computed") < 0.67 * 4 * (steps + 1)).alias("saved"))
+    return assigned.select("id", "k", r6("d")).join(F.broadcast(saved))
 
 
 def mds_center(spark, sf):
@@ -91,7 +93,7 @@ def mds_derivative_test(spark, sf):
 def mds_damping_limits(spark, sf):
     """Bounds of the Hessian's eigenvalues lie between zero and its trace and norm."""
     d, p = stage(spark, distances(spark, sf), "distances"), _positions(spark, sf)
-    got, bound = M.damping_limits(d, p, FIT, most=30), M.trace_and_norm(d, p, FIT).first()
+    got, bound = M.damping_limits(d, p, FIT, most=15), M.trace_and_norm(d, p, FIT).first()
     return spark.createDataFrame([(0 < got.low <= got.high, got.high <= 1.001 * min(bound["trace"], bound["norm"]))], "ordered boolean, bounded boolean")
 
 
@@ -133,6 +135,7 @@ _MDS_CENTER = DIST + ", c AS (SELECT i, avg(d) AS mean FROM dist GROUP BY i), be
 _AXIS = _MDS_CENTER + ", ax AS (SELECT arg_min(i, struct_pack(d := -d, i := i)) AS point, max(d) AS d FROM dist JOIN best ON j = center)"
 ORACLE_SQL = {
     "kmeans_bounded": f"WITH {_LLOYD} SELECT k, count(*) AS n, round(max(d), 6) AS radius, round(sum(d * d), 6) AS width FROM a1 GROUP BY k",
+    "kmeans_bounded_converged": f"WITH {_converged_sql()} SELECT id, k, d, true AS saved FROM a",
     "mds_center": f"WITH {_MDS_CENTER} SELECT center, round(radius, 6) AS radius FROM best",
     "mds_center_bins": f"WITH {DIST}, h AS (SELECT (d - CAST(1.2 AS DOUBLE)) * (30 / (CAST(1.5 AS DOUBLE) - CAST(1.2 AS DOUBLE))) AS v FROM dist) SELECT CAST(least(greatest(CASE WHEN floor(v) = 30 THEN floor(v - CAST(0.00001 AS DOUBLE)) ELSE floor(v) END, -1), 30) + 1 AS BIGINT) AS bin, count(*) AS n FROM h GROUP BY 1",
     "mds_axes": f"""WITH {_AXIS}, pr AS (SELECT a.i, a.d * b.d AS d FROM dist a JOIN best ON a.j = center JOIN dist b ON b.i = a.i JOIN ax ON b.j = ax.point)
