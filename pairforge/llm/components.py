@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairforge.session import discard
+
 from .common import stage
 
 
@@ -20,7 +22,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = stage(spark, edges, "links")
     seen = _mark(edges)
     for _ in range(max_rounds):
-        edges = stage(spark, _small_star(_large_star(edges)), "links")
+        before, edges = edges, stage(spark, _small_star(_large_star(edges)), "links")
+        discard(before)
         if (now := _mark(edges)) == seen:
             break
         seen = now
@@ -36,10 +39,10 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Link each larger neighbour of u to the smallest node around u."""
+    """Link each larger neighbour of u to the smallest node around u; links may come twice."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

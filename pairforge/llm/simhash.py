@@ -1,16 +1,19 @@
 """SimHash near-duplicates with pivot distance tables.
 
-Distinct fingerprints are blocked by the pigeonhole principle: of four 16-bit segments at least two
-are equal in any pair that differs in two bits, so pairs meet under one of six 32-bit keys. Inside a
-block every fingerprint gets its Hamming distances to many reference fingerprints (the pivots); by
-the triangle inequality a pair whose distances to any pivot differ by more than the radius is
-discarded, and only survivors are verified. Blocks of more than BLOCK fingerprints are dealt anew by
-28 keys over their other 32 bits (six of eight nibbles equal), which leaves 256 at most. Blocks give
-spanning links, not pairs; components are built from those.
+The Hamming distances of every distinct fingerprint to PIVOTS reference fingerprints are computed once
+and stored: its row of the pivot table. By the triangle inequality a pair whose distances to any pivot
+differ by more than the radius is discarded; only survivors are verified by their differing bits.
+
+Which rows of the table are compared at all is decided by the pigeonhole principle, as distances of
+hashes lie too close together to tell far ones apart by a join: of four 16-bit segments at least two are
+equal in any pair that differs in two bits, so pairs meet under one of six 32-bit keys. Blocks of more
+than BLOCK fingerprints are dealt anew by 28 keys over their other 32 bits (six of eight nibbles equal),
+which leaves 256 at most. Blocks give spanning links, not pairs; components are built from those.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -20,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import map_arrow, ship, stage
 from .components import connected_components
 
@@ -95,11 +99,18 @@ def _sub_keys(fp: Column, key: Column) -> Column:
     return F.array(*keys)
 
 
-def link_blocks(values: np.ndarray, sizes: np.ndarray, table: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, int]]:
-    """Spanning links within blocks that stand one after the other in ``values`` (unsigned)."""
+def coordinates(fp: Column) -> Column:
+    """The row of the pivot table: distances to all pivots, array<tinyint>."""
+    return F.array(*(F.bit_count(fp.bitwiseXOR(F.lit(p).cast("long"))).cast("tinyint") for p in pivots().view(np.int64).tolist()))
+
+
+def link_blocks(values: np.ndarray, sizes: np.ndarray, coords: np.ndarray, radius: int = RADIUS, tally: Counter | None = None) -> Iterator[tuple[int, int]]:
+    """Spanning links within blocks that stand one after the other in ``values`` (unsigned), with their rows of the pivot table.
+
+    ``tally`` counts the pairs that ``met``, that the pivots ``left``, and that are ``near``.
+    """
     ends = np.repeat(np.cumsum(sizes), sizes)
     order = np.arange(len(values))
-    coords = np.bitwise_count(values[:, None] ^ table[None, :]).astype(np.int8)
     parent = list(range(len(values)))
 
     def find(x: int) -> int:
@@ -109,11 +120,15 @@ def link_blocks(values: np.ndarray, sizes: np.ndarray, table: np.ndarray, radius
 
     for step in range(1, int(sizes.max(initial=1))):
         left = order[: len(order) - step][order[step:] < ends[: len(order) - step]]
+        met = len(left)
         for p in range(coords.shape[1]):  # the largest coordinate difference, one pivot after the other
             if not len(left):
                 break
             left = left[np.abs(coords[left, p] - coords[left + step, p]) <= radius]
+        passed = len(left)
         left = left[np.bitwise_count(values[left] ^ values[left + step]) <= radius]
+        if tally is not None:
+            tally.update(met=met, left=passed, near=len(left))
         for a in left.tolist():
             x, y = find(a), find(a + step)
             if x != y:
@@ -122,34 +137,37 @@ def link_blocks(values: np.ndarray, sizes: np.ndarray, table: np.ndarray, radius
 
 
 def _links(blocks: DataFrame, radius: int) -> DataFrame:
-    """(a, b) from rows that hold a block each, ``fps array<long>``."""
+    """(a, b) from rows that hold a block each, ``rows array<struct<fp, c>>``."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pivots()
         for batch in batches:
             column = batch.column(0)
             for at in range(0, len(column), 2048):
                 part = column.slice(at, 2048)
-                values = part.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                sizes = np.diff(part.offsets.to_numpy())
-                found = np.array(list(link_blocks(values, sizes, table, radius)), np.int64).reshape(-1, 2)
+                fp, c = part.flatten().flatten()
+                values = fp.to_numpy(zero_copy_only=False).view(np.uint64)
+                coords = c.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+                found = np.array(list(link_blocks(values, np.diff(part.offsets.to_numpy()), coords, radius)), np.int64).reshape(-1, 2)
                 signed = values.view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(signed[found[:, 0]]), pa.array(signed[found[:, 1]])], schema=out)
 
     ship(blocks.sparkSession)
-    return blocks.select("fps").mapInArrow(run, "a long, b long")
+    return blocks.select("rows").mapInArrow(run, "a long, b long")
+
 
+def near_links(table: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that span every component of distinct fingerprints at RADIUS differing bits or fewer.
 
-def near_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that span every component of distinct fingerprints ``fp`` at RADIUS differing bits or fewer."""
-    keyed = fps.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
+    ``table``: (fp, c), the pivot table with one row for each fingerprint.
+    """
+    keyed = table.select("fp", "c", F.explode(_keys(F.col("fp"))).alias("key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = keyed.join(counts, "key")
-    small = met.where(F.col("n") <= block).groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    large = met.where(F.col("n") > block).select("key", "fp", F.explode(_sub_keys(F.col("fp"), F.col("key"))).alias("sub"))
-    large = large.groupBy("key", "sub").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    return _links(small.select("fps").union(large.select("fps")), RADIUS)
+    small = met.where(F.col("n") <= block).groupBy("key").agg(F.collect_list(F.struct("fp", "c")).alias("rows"))
+    large = met.where(F.col("n") > block).select("key", "fp", "c", F.explode(_sub_keys(F.col("fp"), F.col("key"))).alias("sub"))
+    large = large.groupBy("key", "sub").agg(F.collect_list(F.struct("fp", "c")).alias("rows")).where(F.size("rows") > 1)
+    return _links(small.select("rows").union(large.select("rows")), RADIUS)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -159,14 +177,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of at most RADIUS differing bits, equal fingerprints included; ``n_same`` how many rows have this
     very fingerprint. Texts without words (nulls too) have fingerprint zero and link like any other.
     Rows with a null id get one too; null only if no row they reach has an id. Repeated rows are kept;
-    other columns are not read; an empty table gives no rows.
+    other columns are not read; an empty table gives no rows. Very long texts are hashed SUMMED shingles
+    at a time.
     """
     spark = df.sparkSession
     made = stage(spark, fingerprints(df, id_col, text_col, words), "fingerprints")
-    # Copies meet here, before anything is compared: one row per distinct fingerprint.
-    distinct = stage(spark, made.groupBy("fp").agg(F.min(id_col).alias("low"), F.count("*").alias("n_same")), "distinct")
-    roots = connected_components(near_links(distinct))
+    # Copies meet here, before anything is compared: one row of the pivot table per distinct fingerprint.
+    distinct = made.groupBy("fp").agg(F.min(id_col).alias("low"), F.count("*").alias("n_same"))
+    distinct = stage(spark, distinct.withColumn("c", coordinates(F.col("fp"))), "pivot_table")
+    roots = connected_components(near_links(distinct.select("fp", "c")))
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", "n_same", F.coalesce("root", "fp").alias("root"))
     lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     labels = placed.join(lows, "root").select("fp", "n_same", "component_id")
     return made.join(labels, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
+
+
+def similar_groups(df: DataFrame, id_col: str, text_col: str = "text", words: int = jaccard.WORDS, similarity: float = jaccard.LEAST) -> DataFrame:
+    """(id, root): the groups of texts linked by a Jaccard similarity of ``similarity`` over runs of ``words`` words.
+
+    The bits of a SimHash bound no similarity of sets: at 0.8 they differ in ten of 64 on average and in up
+    to twenty, where pivots discard nothing. So the fingerprints of this mode are parity bitmaps, whose
+    Hamming distance bounds the differing shingles; see ``jaccard``, which also says what holds of nulls,
+    empty texts, repeated rows, other columns and empty tables.
+    """
+    return jaccard.near_groups(df, id_col, text_col, words, similarity)
