@@ -9,10 +9,12 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pairforge.llm import hamming_topk, iso_media, katz_lm, language_id, license_scan, queries, quality_gam, simhash
+from pairforge.llm import hamming_topk, iso_media, katz_lm, language_id, license_scan, queries, quality_gam, simhash, token_counts
 from pairforge.llm.common import crc_fold
 from pairforge.llm.components import connected_components
 
+from test_jaccard import groups_of  # noqa: I001
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -68,11 +70,30 @@ def test_large_blocks_are_split_without_losing_links(spark):
     rnd = random.Random(3)
     values = {rnd.getrandbits(64) for _ in range(40)}
     values |= {v ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for v in list(values) for _ in range(6)}
-    fps = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    fps = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long").withColumn("c", simhash.coordinates(F.col("fp")))
+    pivots = simhash.pivots().tolist()
+    assert all(list(r.c) == [bin((r.fp % (1 << 64)) ^ p).count("1") for p in pivots] for r in fps.collect())
     roots = lambda block: sorted(map(tuple, connected_components(simhash.near_links(fps, block)).collect()))
     assert roots(1) == roots(1024)
 
 
+def test_pivots_discard_most_pairs_and_no_near_one():
+    rnd, tally = np.random.default_rng(4), Counter()
+    values = rnd.integers(0, 1 << 63, 600, np.uint64)
+    values[300:] = values[:300] ^ np.uint64(5)
+    coords = np.bitwise_count(values[:, None] ^ simhash.pivots()[None, :]).astype(np.int8)
+    links = list(simhash.link_blocks(values, np.array([600]), coords, tally=tally))
+    assert len(links) == 300 and tally["near"] == 300 and tally["met"] == 600 * 599 // 2
+    assert tally["left"] < 0.001 * tally["met"] + 300
+
+
+def test_more_components_than_bits_are_an_error(spark):
+    df = spark.range(1).select(F.array_repeat(F.lit(1.0), 65).alias("v"), F.array_repeat(F.lit(-1.0), 64).alias("w"))
+    assert df.select(hamming_topk.sign_code(F.col("w"))).first()[0] == 0
+    with pytest.raises(Exception, match="64 components"):
+        df.select(hamming_topk.sign_code(F.col("v"))).collect()
+
+
 @pytest.mark.parametrize("bucket,cell", [(256, 1 << 16), (4, 8), (64, 16)])
 def test_hamming_top_k_equals_brute_force(spark, bucket, cell):
     rnd = random.Random(bucket)
@@ -113,7 +134,26 @@ def test_license_scan_finds_planted_notices(spark, odd_docs, no_docs):
 
 def test_license_scan_needs_no_python(spark, odd_docs):
     plan = license_scan.scan(odd_docs)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+    assert "Python" not in plan and "Arrow" not in plan and "SortMergeJoin" not in plan
+
+
+def test_license_scan_of_stretches_equals_the_whole(spark):
+    rnd = random.Random(6)
+    texts = [t for x in license_scan.TEMPLATES.values() for t in x]
+    rows = [(i, " ".join(rnd.choice(texts) if rnd.random() < 0.1 else f"filler{rnd.randrange(9)} word" for _ in range(60))) for i in range(12)]
+    df = spark.createDataFrame([*rows, rows[0], (None, rows[1][1])], "doc_id long, text string")
+    whole = sorted(map(str, license_scan.scan(df).collect()))
+    assert len(whole) > 20 and len(whole) > len(set(whole))
+    for stretch in (7, 100, 331):
+        assert sorted(map(str, license_scan.scan(df, stretch=stretch).collect())) == whole
+
+
+def test_license_scan_of_many_templates(spark):
+    rnd = random.Random(7)
+    many = {f"L{i}": [" ".join(f"w{rnd.randrange(400)}" for _ in range(rnd.randint(5, 90)))] for i in range(300)}
+    df = spark.createDataFrame([(i, f"a b c {many[f'L{i}'][0]} d e") for i in range(300)], "doc_id long, text string")
+    got = {(r.doc_id, r.license) for r in license_scan.scan(df, templates=many).collect()}
+    assert {(i, f"L{i}") for i in range(300)} <= got
 
 
 def katz(texts, held):
@@ -180,13 +220,27 @@ def test_language_profiles_equal_plain_counts():
     old = language_id.CHARS
     try:
         for language_id.CHARS in (old, 5, 7):
-            for t in ("Hello, World! straße ÉÉ  x", "a", "!!", " a b cc", "İx yİ", "漢字 and" * 3):
+            for t in ("ΑΣ ΣΑΣ i̇", "ΑΣ İ", "Hello, World! straße ÉÉ  x", "a", "!!", " a b cc", "İx yİ", "漢字 and" * 3):
                 codes, counts = language_id.profile_counts(t)
                 assert dict(zip(codes.tolist(), counts.tolist())) == plain(t)
     finally:
         language_id.CHARS = old
 
 
+def test_out_of_place_distances_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    profiles = language_id.fit_profiles(docs, size=60)
+    assert len(profiles) > 1 and all(len(x) == 60 for x in profiles.values())
+    tied = {**profiles, "zz": profiles[min(profiles)]}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in language_id.identify(docs, tied, size=60).collect():
+        codes, counts = language_id.profile_counts(texts[r.doc_id] or "")
+        own = [c for _, c in sorted(zip((-counts).tolist(), codes.tolist()))][:60]
+        away = {k: sum(abs(i - x.index(c)) if c in x else 60 for i, c in enumerate(own)) for k, x in tied.items()}
+        best = min(away, key=lambda k: (away[k], k)) if own else "und"
+        assert (r.lang_pred, r.score) == (best, pytest.approx(1 - away[best] / (60 * len(own)) if own else 0))
+
+
 def test_language_id_is_right_on_held_out_rows(spark, odd_docs, no_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.op7_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -217,10 +271,73 @@ def test_media_tables_with_sizes_and_several_chunks():
     one = iso_media.write_media(bytes(range(192)) * 70, chunk=16)
     brand, (track,) = iso_media.parse_media(one)
     assert len(track.offsets) == 70 and len(track.runs()) == 1
-    # Sizes of their own and a version 1 media header.
-    at = one.index(b"stsz")
-    sizes = iso_media.full(b"stsz", 0, (0).to_bytes(4, "big"), (70).to_bytes(4, "big"), (192).to_bytes(4, "big") * 70)
-    assert len(sizes) - 20 == 280 and one[at + 8 : at + 12] == (192).to_bytes(4, "big")
+    # Sizes of their own, plain and compact, a version 1 media header, and user data with its four-byte end.
+    def put(data, kind, new):
+        at = data.index(kind) - 4
+        size = int.from_bytes(data[at : at + 4], "big")
+        grown = len(new) - size
+        out = bytearray(data[:at] + new + data[at + size :])
+        for outer in (b"moov", b"trak", b"mdia", b"minf", b"stbl"):
+            k = data.index(outer) - 4
+            if k < at < k + int.from_bytes(data[k : k + 4], "big"):
+                out[k : k + 4] = (int.from_bytes(out[k : k + 4], "big") + grown).to_bytes(4, "big")
+        k = out.index(b"stco") + 12
+        for i in range(int.from_bytes(out[k - 4 : k], "big")):
+            old = int.from_bytes(out[k + 4 * i : k + 4 * i + 4], "big")
+            out[k + 4 * i : k + 4 * i + 4] = (old + grown).to_bytes(4, "big")
+        return bytes(out)
+
+    word = lambda x, n=4: x.to_bytes(n, "big")
+    sizes = iso_media.full(b"stsz", 0, word(0), word(70), word(192) * 70)
+    compact = [iso_media.full(b"stz2", 0, word(bits), word(70), word(192, bits // 8) * 70) for bits in (8, 16)]
+    header = iso_media.full(b"mdhd", 0, word(0, 8) * 2, word(24), word(70, 8), word(0), version=1)
+    for changed in (put(one, b"stsz", sizes), *(put(one, b"stsz", x) for x in compact), put(one, b"mdhd", header), put(one, b"vmhd", iso_media.box(b"udta", iso_media.box(b"name", b"x"), bytes(4)))):
+        (got,) = iso_media.parse_media(changed)[1]
+        assert b"".join(changed[a:b] for a, b in got.runs()) == bytes(range(192)) * 70
+        assert (got.timescale, got.duration, got.keyframes.tolist()) == (24, 70, list(range(0, 70, 12)))
+    nibbles = put(one, b"stsz", iso_media.full(b"stz2", 0, word(4), word(70), bytes([0x12] * 35)))
+    assert iso_media.parse_media(nibbles)[1][0].sizes.tolist() == [1, 2] * 35
+
+
+def test_media_fragments():
+    word = lambda x, n=4: x.to_bytes(n, "big")
+    full, box = iso_media.full, iso_media.box
+    table = box(b"stbl", full(b"stsd", 0, word(1), box(b"avc1", bytes(8))), *(full(k, 0, word(0)) for k in (b"stts", b"stsc", b"stco")), full(b"stsz", 0, word(0), word(0)))
+    media = box(b"mdia", full(b"mdhd", 0, word(0) * 2, word(90), word(0), word(0)), box(b"minf", table))
+    track = box(b"trak", full(b"tkhd", 3, word(0) * 2, word(5), word(0) * 2), media)
+    init = box(b"ftyp", b"iso5", word(0)) + box(b"moov", track, box(b"mvex", full(b"trex", 0, word(5), word(1), word(3), word(10), word(0x10000))))
+    data, at, want, keys = init, len(init), [], []
+    for k, (flags, rows) in enumerate([(0x5, [10] * 4), (0x205, [7, 8, 9]), (0x601, [5, 6])]):
+        own = b"".join(word(n) + (word(0 if i == 1 else 0x10000) if flags & 0x400 else b"") for i, n in enumerate(rows)) if flags & 0x200 else b""
+        size = 8 + 8 + 16 + 16 + len(own) + 4 + 4 * (flags >> 2 & 1) + 4 - 4
+        head = [word(size + 8)] + ([word(0)] if flags & 4 else [])
+        moof = box(b"moof", box(b"traf", full(b"tfhd", 0x20000, word(5)), full(b"trun", flags, word(len(rows)), *head, own)))
+        head[0] = word(len(moof) + 8)
+        moof = box(b"moof", box(b"traf", full(b"tfhd", 0x20000, word(5)), full(b"trun", flags, word(len(rows)), *head, own)))
+        keys.append(len(want) + (1 if flags & 0x400 else 0))
+        place = len(data) + len(moof) + 8
+        for n in rows:
+            want.append((place, n))
+            place += n
+        data += moof + box(b"mdat", bytes(sum(rows)))
+    (got,) = iso_media.parse_media(data)[1]
+    assert list(zip(got.offsets.tolist(), got.sizes.tolist())) == want
+    assert got.keyframes.tolist() == keys and (got.codec, got.duration) == ("avc1", 27)
+
+
+def test_media_query_equals_brute_force(spark):
+    import hashlib
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.op9_media_columns(spark, SF).collect():
+        raw = (docs[r.doc_id] or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        media = iso_media.write_media(payload)
+        assert (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(raw), len(payload), len(media))
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.media_sha256 == hashlib.sha256(media).hexdigest()
+        assert r.tail_crc32 == crc32(payload[-16:]) and r.n_keyframes == len(r.keyframes) == -(-len(payload) // 192 // 12)
+        assert all(media[k.offset : k.offset + k.length] == payload[2304 * i : 2304 * i + 192] for i, k in enumerate(r.keyframes))
+        assert r.feature == f"isom;raw ;{len(payload) // 192}/24;{len(r.keyframes)} keyframes;{r.keyframes[0].offset}+192;{r.keyframes[-1].offset}+192"
 
 
 def test_malformed_media_is_reported(spark):
@@ -243,6 +360,26 @@ def test_quality_model_on_held_out_rows(spark, odd_docs, no_docs):
     assert quality_gam.classify(no_docs, model).count() == 0
 
 
+def test_gam_sees_a_feature_that_is_mostly_zero():
+    rnd = np.random.default_rng(1)
+    x = np.zeros((4000, 2))
+    x[:100, 0] = rnd.random(100)
+    x[:, 1] = rnd.random(4000)
+    y = (x[:, 0] > 0).astype(float)
+    model = quality_gam.fit(x, y, rounds=60, pairs=1)
+    assert ((model.score(x) > 0.5) == y).all()
+    y = (x[:, 0] > 0.5).astype(float)
+    assert ((quality_gam.fit(x, y, rounds=60, pairs=1).score(x) > 0.5) == y).mean() > 0.999
+
+
+def test_gam_trains_on_odd_labels(spark, odd_docs):
+    labels = spark.createDataFrame([(1, 1, 7), (1, 0, 7), (2, 0, 7), (6, None, 7), (None, 1, 7), (9, 0, 7)], "doc_id long, quality int, label_id int")
+    model = quality_gam.train(odd_docs, labels)
+    assert {0 < r.score < 1 for r in quality_gam.classify(odd_docs, model).collect()} == {True}
+    a, b = (quality_gam.train(odd_docs, labels, fit_rows=2).intercept for _ in range(2))
+    assert a == b
+
+
 def test_gam_learns_an_interaction():
     rnd = np.random.default_rng(0)
     x = rnd.random((4000, 4))
@@ -266,7 +403,7 @@ def test_pipeline_stages_decide(spark, odd_docs, tmp_path):
         path = str(tmp_path / name)
         out.write.parquet(path)
         if name == "simhash_dedup":
-            groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(at).collect()}
+            groups = groups_of({r.doc_id: r.text for r in at.collect()})
             assert sorted(r.doc_id for r in spark.read.parquet(path).collect()) == sorted(set(groups.values()))
         at = spark.read.parquet(path)
         sizes.append(at.count())
@@ -279,3 +416,22 @@ def test_pipeline_stages_decide(spark, odd_docs, tmp_path):
         odd = work(spark, odd, SF)
         assert odd.columns == odd_docs.columns
         odd.count()
+    assert corpus_pipeline.drop_near_duplicates(spark, odd_docs, SF).count() == 7
+    assert {r.doc_id for r in corpus_pipeline.pack_sequences(spark, odd_docs, SF).collect()} == {r.doc_id for r in odd_docs.collect()}
+
+
+def test_pipeline_packs_what_its_stages_keep(spark):
+    kept = corpus_pipeline.documents(spark, SF)
+    for _, work in corpus_pipeline.STAGES[:3]:
+        kept = work(spark, kept, SF)
+    lengths = dict(zip((r.doc_id for r in kept.collect()), (r.n_tokens + 1 for r in token_counts.count_tokens(kept).collect())))
+    got = defaultdict(list)
+    for r in corpus_pipeline.run(spark, SF).collect():
+        got[r.doc_id].append((r.start, r.length))
+    assert got.keys() == lengths.keys()
+    for i, pieces in got.items():
+        at = 0
+        for start, length in sorted(pieces):
+            assert start == at
+            at += length
+        assert at == lengths[i]
