@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from pairforge.llm import jaccard
+from pairforge.llm import jaccard, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,21 +42,53 @@ def planted(spark):
     return texts
 
 
-def test_near_groups_equal_brute_force(spark, monkeypatch):
+def test_bitmaps_bound_the_difference():
+    rnd = np.random.default_rng(2)
+    for m, n in ((0, 5), (3, 300), (256, 257), (1000, 5000), (700, 900)):
+        s, t = (np.unique(rnd.integers(0, 1 << 63, k, np.uint64)) for k in (m, n))
+        t = np.unique(np.r_[t, s[::2]])
+        got = jaccard.differing(jaccard.bitmap(s), jaccard.bitmap(t))
+        small = [x.tobytes() for x in map(jaccard.folded, map(jaccard.bitmap, (s, t)))]
+        assert len(small[0]) == jaccard.LEAST_BITS // 8 and jaccard.differing(*small) <= got
+        assert got <= len(np.setxor1d(s, t)) and jaccard.differing(jaccard.bitmap(t), jaccard.bitmap(t)) == 0
+        assert got == jaccard.differing(jaccard.bitmap(t), jaccard.bitmap(s))
+
+
+def test_bucket_levels_count_every_row(spark):
+    df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(k, k + 5)),) for k in range(50)] * 200 + [("the one very common line",)] * 5000, "text string").repartition(7)
+    levels = jaccard.bucket_levels(df, 5)
+    common = int(jaccard.shingles("the one very common line")[0] >> np.uint64(64 - jaccard.BUCKET_BITS))
+    assert levels[common] == levels.max() > levels[int(jaccard.shingles("w1 w2 w3 w4 w5")[0] >> np.uint64(64 - jaccard.BUCKET_BITS))] > 0
+    assert not jaccard.bucket_levels(df.limit(0), 5).any()
+
+
+def test_near_groups_equal_brute_force(spark):
     texts = planted(spark)
     df = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(3)
     want = groups_of(texts)
     assert any(want[i] != i and plain(texts[i]) != plain(texts[want[i]]) for i in want)
-    for most in (64, 3):
-        monkeypatch.setattr(jaccard, "HOT", most)
-        got = {r.id: r.root for r in jaccard.near_groups(df, "id").collect()}
+    for bits in (20, 4):
+        got = {r.id: r.root for r in jaccard.near_groups(df, "id", bucket_bits=bits).collect()}
         assert got.keys() == want.keys()
         assert len({(got[i], want[i]) for i in want}) == len(set(got.values())) == len(set(want.values()))
 
 
+def test_near_groups_of_odd_rows(spark, odd_docs, no_docs):
+    rows = odd_docs.withColumn("key", F.monotonically_increasing_id())
+    kept = {r.key: r.doc_id for r in rows.collect()}
+    of = {}
+    for r in simhash.similar_groups(rows, "key").collect():
+        of.setdefault(r.root, []).append(kept[r.key])
+    assert sorted(str(sorted(x, key=str)) for x in of.values()) == sorted(map(str, [[1, 2, 2], [3, 4, 5, None], [6], [7], [None], [8], [9]]))
+    assert simhash.similar_groups(no_docs, "doc_id").count() == 0
+
+
 def test_stage_drops_near_copies(spark):
     texts = planted(spark)
-    rows = [(i, t, "en", "x", len(t or "")) for i, t in texts.items()]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
-    assert kept == sorted(set(groups_of(texts).values()))
+    rows = [(i, t, "en", "x", len(t or ""), 7, i) for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row long, row_ long")
+    found = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert found.columns == docs.columns
+    kept = found.collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(groups_of(texts).values()))
+    assert all(r.row == 7 and r.row_ == r.doc_id for r in kept)
