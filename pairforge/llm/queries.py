@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import hamming_topk, iso_media, katz_lm, language_id, license_scan, packing, quality_gam, sentencepiece_codec, simhash, token_counts
+from . import bestfit_packing, hamming_topk, iso_media, katz_lm, language_id, license_scan, packing, quality_gam, sentencepiece_codec, simhash, source_audit, token_counts, whitening
 from .common import crc_fold, documents, table
 
 
@@ -104,6 +104,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.classify(docs, model, keep=(fold == 1,)).withColumnRenamed("keep_0", "held_out")
 
 
+def op11_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit_packing.pack_best_fit(documents(spark, sf_dir), with_ids=False)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_hamming_topk": op2_hamming_topk,
@@ -115,10 +127,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_media_columns": op9_media_columns,
     "op10_quality": op10_quality,
+    "op11_bestfit": op11_bestfit,
+    "op12_whitening": op12_whitening,
+    "op13_source_audit": op13_source_audit,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_hamming_topk": OP2_SQL, "op4_license_scan": license_scan.oracle()}
+ORACLE_SQL: dict[str, str] = {"op2_hamming_topk": OP2_SQL, "op4_license_scan": license_scan.oracle(), "op13_source_audit": source_audit.oracle()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
