@@ -10,8 +10,8 @@ from pairforge.functions import alignment as A
 from pairforge.operators import pairs as P
 from pairforge.plans.basics import DIM, DIST, PTS, distances, points, r6
 from pairforge.plans.sequences import _COLS, _SEQ, neighbours, sequences
-from pairforge.session import shared_dir
-from pairforge.sources import fasta, matrix
+from pairforge.session import shared_dir, stage
+from pairforge.sources import fasta, matrix, matrix_source
 from pairforge.sources import points as S
 
 
@@ -52,14 +52,44 @@ def matrix_text_file(spark, sf):
     return _totals(matrix.read_text(spark, path))
 
 
+def _thirds(spark, sf):
+    """The matrix over three, so that all are below one; made once."""
+    return stage(spark, _rows(spark, sf).select("i", F.transform("row", lambda d: d / 3).alias("row")), "matrix")
+
+
 def matrix_binary_files(spark, sf):
-    """Four files of 16-bit numbers; distances over three, so that all are below one."""
-    folder = _folder(spark).removeprefix("file://").removeprefix("file:")
-    rows = _rows(spark, sf).select("i", F.transform("row", lambda d: d / 3).alias("row"))
+    """Parts of 16-bit numbers, read as one matrix."""
+    path = f"{_folder(spark)}/matrix"
+    matrix_source.write_matrix(_thirds(spark, sf), path, "int16", 32767.0)
+    return _totals(matrix_source.read_matrix(spark, path, kind="int16", scale=32767.0))
+
+
+#: Number types of binary matrices, and text, with what their numbers are multiplied by.
+MATRIX_TYPES = {"int16": 32767.0, "uint16": 65535.0, "int32": 2147483647.0, "uint32": 4294967295.0, "float32": None, "float64": None, "text": None}
+
+
+def matrix_types(spark, sf):
+    """The matrix in parts of every type, and as text."""
+    rows, out, folder = _thirds(spark, sf), None, _folder(spark)
+    for kind, scale in MATRIX_TYPES.items():
+        matrix_source.write_matrix(rows, f"{folder}/{kind}", kind, scale)
+        got = matrix_source.read_matrix(spark, f"{folder}/{kind}", kind=kind, scale=scale)
+        one = _totals(got).select(F.lit(kind).alias("type"), "i", "n", "total")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def matrix_slices(spark, sf):
+    """The middle half of the rows, sought in parts of each layout; numbers as they are stored."""
+    rows, out, folder = _thirds(spark, sf), None, _folder(spark)
     n = rows.count()
-    spark.createDataFrame([(1,)], "a int").write.parquet(f"{folder}/made")  # makes the folder
-    parts = matrix.write_binary_parts(rows, f"{folder}/matrix", "int16", 32767.0)
-    return _totals(matrix.read_binary_parts(spark, f"{folder}/matrix", parts, n, "int16", 32767.0))
+    for kind in ("uint16", "float64", "text"):
+        matrix_source.write_matrix(rows, f"{folder}/{kind}", kind, MATRIX_TYPES[kind])
+        # A headerless folder has no description: the width is told.
+        got = matrix_source.read_matrix(spark, f"{folder}/{kind}", n, kind, (n // 4, n // 4 + n // 2 - 1), MATRIX_TYPES[kind])
+        one = _totals(got).select(F.lit(kind).alias("type"), "i", "n", "total")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def matrix_reordered(spark, sf):
@@ -131,17 +161,23 @@ def alignment_score_dump(spark, sf):
 
 
 QUERIES = {
-    "file_fasta": fasta_file, "file_index": index_file, "file_matrix_text": matrix_text_file, "file_matrix_binary": matrix_binary_files, "matrix_reordered": matrix_reordered,
+    "file_fasta": fasta_file, "file_index": index_file, "file_matrix_text": matrix_text_file, "file_matrix_binary": matrix_binary_files, "file_matrix_types": matrix_types, "file_matrix_slices": matrix_slices, "matrix_reordered": matrix_reordered,
     "file_vectors": vector_file, "file_points_3d": points_3d_file, "file_clusters": cluster_file, "file_lcms_previous": lcms_previous_file, "file_centers": center_file,
     "file_solution_styles": solution_styles, "file_alignments": alignment_dump, "file_alignment_scores": alignment_score_dump,
 }
 
+_TYPED = " UNION ALL ".join(
+    f"SELECT '{kind}' AS type, i, " + (f"trunc(d / 3 * {scale}) / {scale}" if scale else "CAST(CAST(d / 3 AS FLOAT) AS DOUBLE)" if kind == "float32" else "d / 3") + " AS v FROM full_" for kind, scale in MATRIX_TYPES.items()
+)
 _FULL = DIST + ", full_ AS (SELECT i, j, d FROM dist UNION ALL SELECT id, id, 0.0 FROM pts)"
 ORACLE_SQL = {
     "file_fasta": f"WITH {_SEQ} SELECT concat('item ', idx) AS label, residues FROM seq",
     "file_index": f"WITH {_SEQ} SELECT idx, concat('item ', idx) AS name, CAST(length(residues) AS INTEGER) AS length FROM seq",
     "file_matrix_text": f"WITH {_FULL} SELECT i, count(*) AS n, round(sum(d), 6) AS total FROM full_ GROUP BY i",
     "file_matrix_binary": f"WITH {_FULL} SELECT i, count(*) AS n, round(sum(trunc(d / 3 * 32767) / 32767), 6) AS total FROM full_ GROUP BY i",
+    "file_matrix_types": f"""WITH {_FULL}, t AS ({_TYPED}) SELECT type, i, count(*) AS n, round(sum(v), 6) AS total FROM t GROUP BY type, i""",
+    "file_matrix_slices": f"""WITH {_FULL}, t AS ({_TYPED}), c AS (SELECT count(*) AS n FROM pts)
+SELECT type, i, count(*) AS n, round(sum(v), 6) AS total FROM t WHERE type IN ('uint16', 'float64', 'text') AND i >= (SELECT n // 4 FROM c) AND i < (SELECT n // 4 + n // 2 FROM c) GROUP BY type, i""",
     "matrix_reordered": f"WITH {_FULL} SELECT 1000000 - i AS i, count(*) AS n, count(CASE WHEN d <= CAST(1.4 AS DOUBLE) THEN 1 END) AS defined, round(sum(CASE WHEN d <= CAST(1.4 AS DOUBLE) THEN d END), 6) AS total FROM full_ WHERE i % 2 = 0 AND j % 2 = 0 GROUP BY i",
     "file_vectors": f"WITH {PTS} SELECT id, round(list_sum(x), 6) AS total, label AS cluster FROM pts",
     "file_points_3d": f"WITH {PTS} SELECT id, round(x[1], 6) AS x, round(x[2], 6) AS y, round(x[3], 6) AS z, label AS cluster FROM pts",

@@ -117,15 +117,9 @@ def test_fasta_round_trip(spark, tmp_path):
     assert {r.label: r.residues for r in again.collect()} == {x[1]: x[2] for x in got}
 
 
-def test_matrix_files(spark, tmp_path):
+def test_matrix_text_files(spark, tmp_path):
     rows = [(i, [((i * 7 + j * 3) % 11) / 11 for j in range(9)]) for i in range(9)]
     df = spark.createDataFrame(rows, "i long, row array<double>").repartition(3)
-    assert matrix.write_binary_parts(df, str(tmp_path / "m"), "int16", 32767, 4) == 3
-    back = matrix.read_binary_parts(spark, str(tmp_path / "m"), 3, 9, "int16", 32767).orderBy("i").collect()
-    assert [r.i for r in back] == list(range(9))
-    assert np.allclose([r.row for r in back], [r for _, r in rows], atol=1e-4)
-    part = matrix.read_binary(spark, str(tmp_path / "m_0.bin"), 9, rows=(1, 2)).collect()
-    assert [r.i for r in part] == [1, 2]
     matrix.write_text(df, str(tmp_path / "t"))
     text = matrix.read_text(spark, str(tmp_path / "t")).orderBy("i").collect()
     assert [r.row for r in text] == [r for _, r in rows]
