@@ -16,9 +16,9 @@ from pairforge.session import discard, stage
 MOST_CENTER_VALUES = 5_000_000
 
 
-def means(points: DataFrame, k_col: str = "k") -> DataFrame:
-    """(k, y): the mean position of each cluster of (id, x, k)."""
-    per = R.elementwise(points, "x", "mean", (k_col,))
+def means(points: DataFrame, k_col: str = "k", dim: int | None = None) -> DataFrame:
+    """(k, y): the mean position of each cluster of (id, x, k); with a known ``dim`` a point stays one row."""
+    per = R.elementwise(points, "x", "mean", (k_col,), dim)
     return per.groupBy(F.col(k_col).alias("k")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda e: e["value"]).alias("y"))
 
 
@@ -73,7 +73,7 @@ def fit(points: DataFrame, start: DataFrame, cut: float = 0.001, extra: int = 11
     spark, centers, left, before = points.sparkSession, start, None, None
     for step in range(1, most + 1):
         assigned = stage(spark, assign(points, centers, dim), f"assigned{step}")
-        new = means(assigned)
+        new = means(assigned, dim=dim)
         moved = centers.join(new.withColumnRenamed("y", "new"), "k", "left").select("k", F.coalesce("new", "y").alias("y"), V.distance(F.col("y"), F.coalesce("new", "y")).alias("moved"))
         moved = stage(spark, moved, f"centers{step}")
         change = moved.agg(F.avg("moved")).first()[0]

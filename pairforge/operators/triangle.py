@@ -1,115 +1,49 @@
-"""K-means with bounds from the triangle inequality: the same answer with fewer distances.
-
-Each point carries the distance to its center and a lower bound to every center. When centers move, lower
-bounds shrink by as much; the distance to another center is computed only where its bound and half the
-distance between the two centers are both within the point's own. The k centers are a small table whose
-size is checked; points stay in the shared folder, one written table a step.
-"""
+"""K-means with bounds from the triangle inequality: the same answer with fewer distances (``bounds``)."""
 
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairforge.operators import bounds as B
 from pairforge.operators import kmeans as K
-from pairforge.session import discard, ship, stage
-
-#: Numbers of centers, and of distances between them, that the driver may hold.
-MOST_VALUES = 5_000_000
-_STATE = "id long, x array<double>, k long, d double, low array<double>, computed long"
-
-
-def center_distances(y: np.ndarray) -> np.ndarray:
-    """Distances between all centers."""
-    square = np.maximum((y * y).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * y @ y.T, 0)
-    return np.sqrt(square)
-
-
-def reassign(x: np.ndarray, k: np.ndarray, low: np.ndarray, y: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distance, how many were computed) of each point; moves points to their nearest centers ``k`` and sharpens ``low`` in place.
-
-    ``low`` bounds the distances to all centers from below. On ties the lowest center wins.
-    """
-    computed = np.ones(len(x), np.int64)
-    high = np.sqrt(((x - y[k]) ** 2).sum(1))
-    low[np.arange(len(x)), k] = high
-    nearest = (between + np.where(np.eye(len(y), dtype=bool), np.inf, 0)).min(axis=1, initial=np.inf)
-    slack = 1e-9  # bounds are sums and differences of rounded numbers
-    doubt = np.flatnonzero(high * (1 + slack) >= 0.5 * nearest[k])
-    for j in range(len(y)):
-        own = doubt[k[doubt] != j]
-        most = high[own] * (1 + slack) + slack
-        own = own[(low[own, j] <= most) & (0.5 * between[k[own], j] <= most)]
-        if len(own):
-            d = np.sqrt(((x[own] - y[j]) ** 2).sum(1))
-            computed[own] += 1
-            low[own, j] = d
-            better = (d < high[own]) | ((d == high[own]) & (j < k[own]))
-            k[own[better]], high[own[better]] = j, d[better]
-    return high, computed
-
-
-def _step(state: DataFrame, y: np.ndarray, moved: np.ndarray) -> DataFrame:
-    between = center_distances(y)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            x, low = (batch[c].flatten().to_numpy(zero_copy_only=False).reshape(n, -1).copy() for c in ("x", "low"))
-            k, low = batch["k"].to_numpy().copy(), np.maximum(low - moved, 0)
-            high, done = reassign(x, k, low, y, between)
-            done = done + batch["computed"].to_numpy()
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, low.size + 1, low.shape[1]), pa.int32()), pa.array(low.ravel()))
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["x"], pa.array(k), pa.array(high), lists, pa.array(done)], names=["id", "x", "k", "d", "low", "computed"])
-
-    return state.mapInArrow(run, _STATE)
 
 
-def fit(points: DataFrame, start: DataFrame, cut: float = 0.001, extra: int = 11, most: int = 100) -> tuple[DataFrame, DataFrame, int]:
+def fit(points: DataFrame, start: DataFrame, cut: float = 0.001, extra: int = 11, most: int = 100, width: int = B.WIDTH, dim: int | None = None) -> tuple[DataFrame, DataFrame, int]:
     """(assigned, centers, iterations), as ``kmeans.fit`` from the same starting centers (k, y).
 
     ``assigned`` is (id, x, k, d, computed) under the last centers, with how many distances each point took
-    in all. More than MOST_VALUES numbers of centers or of distances between them raise; ``kmeans.fit`` has
-    no such limit.
+    in all; its state holds 2 x ``width`` bounds a point. More than ``bounds.MOST_VALUES`` numbers of centers
+    or of distances between them raise; ``kmeans.fit`` has no such limit.
     """
     spark = points.sparkSession
-    ship(spark)
     size = start.agg(F.count("*").alias("n"), F.sum(F.size("y")).alias("values")).first()
-    if max((size["values"] or 0), size["n"] ** 2) > MOST_VALUES:
-        raise ValueError(f"more than {MOST_VALUES} numbers of centers")
+    if max((size["values"] or 0), size["n"] ** 2) > B.MOST_VALUES:
+        raise ValueError(f"more than {B.MOST_VALUES} numbers of centers")
     rows = sorted(start.collect(), key=lambda r: r["k"])
-    names, y = np.array([r["k"] for r in rows]), np.array([r["y"] for r in rows], float)
-    zero = F.array_repeat(F.lit(0.0), len(y))
-    # Nothing is known yet: every lower bound is zero. Clusters are numbered by place until the end.
-    zero = F.array_repeat(F.lit(0.0), len(y))
-    state = points.select(F.col("id").cast("long").alias("id"), "x", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("d"), zero.alias("low"), F.lit(0).cast("long").alias("computed"))
-    moved, left, before = np.zeros(len(y)), None, None
-    for step in range(1, most + 1):
-        state = stage(spark, _step(state, y, moved), "bounded")
-        discard(before)
-        before, new = state, y.copy()
-        for r in K.means(state).collect():
+    names, y = [r["k"] for r in rows], np.array([r["y"] for r in rows], float)
+    # Clusters are numbered by place until the end.
+    search, left = B.Search(points, width=width), None
+    for iteration in range(1, most + 1):
+        state, new = search.at(y), y.copy()
+        for r in K.means(state, dim=dim).collect():
             new[r["k"]] = r["y"]
-        moved = np.sqrt(((new - y) ** 2).sum(1))
-        radius = K.center_stats(state).agg(F.avg("radius")).first()[0]
-        y = new
+        moved, y = B.distances(new, y), new
         if left is not None:
             left -= 1
-        elif radius is None or moved.mean() < cut * radius or moved.mean() == 0:
-            left = extra
+        else:
+            radius = K.center_stats(state).agg(F.avg("radius")).first()[0]
+            if radius is None or moved.mean() < cut * radius or moved.mean() == 0:
+                left = extra
         if left == 0:
             break
     else:
         warnings.warn(f"K-means did not converge in {most} iterations", RuntimeWarning, stacklevel=2)
-    state = stage(spark, _step(state, y, moved), "bounded")
-    discard(before)
-    number = F.element_at(F.array(*(F.lit(int(n)) for n in names)), (F.col("k") + 1).cast("int"))
+    state = search.at(y)
+    named = spark.createDataFrame(list(enumerate(names)), "k long, name long")
     centers = spark.createDataFrame([(int(n), v.tolist()) for n, v in zip(names, y)], "k long, y array<double>")
-    return state.select("id", "x", number.cast("long").alias("k"), "d", "computed"), centers, step
+    # As many rows as centers, which were counted.
+    return state.join(F.broadcast(named), "k").select("id", "x", F.col("name").alias("k"), "d", "computed"), centers, iteration
