@@ -23,10 +23,13 @@ def test_codec_equals_the_library(codec, spark):
     texts += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() if r.text]
     assert codec.splits
     want = [x.ids for x in codec.library.encode_batch(texts, add_special_tokens=False)]
-    for _ in range(2):
-        assert [list(memoryview(x).cast("I")) for x in codec.encode(texts)] == want
-    small = ByteCodec(max_words=10)
-    assert [list(memoryview(small.encode([t])[0]).cast("I")) for t in texts[:200]] == want[:200]
+    assert codec.merge is not None and [list(memoryview(x).cast("I")) for x in codec.encode(texts)] == want
+    codec.merge, merge = None, codec.merge
+    assert [list(memoryview(x).cast("I")) for x in codec.encode(texts[:50])] == want[:50]
+    codec.merge = merge
+    # Plain and other chunks in one text meet at any of their bounds.
+    mixed = [" ".join(rnd.choice(("plain", "Ab1.", "漢字", "x\n", "\n", "", "é", "<|endoftext|>", "<|end", "it's", "٣x")) for _ in range(rnd.randrange(12))) for _ in range(3000)]
+    assert [list(memoryview(x).cast("I")) for x in codec.encode(mixed)] == [x.ids for x in codec.library.encode_batch(mixed, add_special_tokens=False)]
 
 
 def placed(rows, codec, texts, capacity, end=2):
