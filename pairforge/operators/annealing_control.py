@@ -75,9 +75,3 @@ def restart(points: DataFrame, labels: DataFrame, dim: int | None = None) -> Dat
     y = means.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda e: e["value"]).alias("y"))
     return share.join(y, "cluster", "left").select(F.col("cluster").alias("k"), "y", "p")
 
-
-#: Presets of a clustering of mass-spectrometry peaks: whether it starts anew, from an old result's labels, with a sponge, and whether it anneals.
-RUN_MODES = {
-    "fresh": {"restart": False, "anneal": True, "sponge": True}, "sponge_again": {"restart": True, "anneal": False, "sponge": True},
-    "join": {"restart": True, "anneal": True, "sponge": False}, "sponge_change": {"restart": True, "anneal": True, "sponge": True}, "analyse": {"restart": True, "anneal": False, "sponge": False},
-}

@@ -65,11 +65,11 @@ def _centers(spark, sf):
 
 
 def vda_memberships(spark, sf):
-    return D.memberships(points(spark, sf), _centers(spark, sf), 0.2, sponge=1.2, dim=DIM).select("id", F.col("k").cast("long").alias("k"), r6("m"))
+    return D.memberships(points(spark, sf), _centers(spark, sf), 0.2, sponge=1.2, dim=DIM, with_x=False).select("id", F.col("k").cast("long").alias("k"), r6("m"))
 
 
 def vda_sizes(spark, sf):
-    m = D.memberships(points(spark, sf), _centers(spark, sf), 0.2, sponge=1.2, dim=DIM)
+    m = D.memberships(points(spark, sf), _centers(spark, sf), 0.2, sponge=1.2, dim=DIM, with_x=False)
     return D.cluster_sums(m, 0.2).select(F.col("k").cast("long").alias("k"), r6("c"), r6("width"))
 
 
@@ -102,7 +102,7 @@ def vda_covariance(spark, sf):
 
 
 def vector_annealing(spark, sf):
-    s = D.anneal(points(spark, sf), most=4, cooling=0.7, final=0.5, sponge=1.2, sponge_from=0.8, inner=2, dim=DIM)
+    s = D.anneal(points(spark, sf), sponge=1.2, dim=DIM)
     return s.labels().groupBy("cluster").agg(F.count("*").alias("n"))
 
 

@@ -24,8 +24,11 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def half_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(i, j, d) for each unordered pair of embeddings."""
-    return P.half_pairs(points(spark, sf_dir), ["x"]).select("i", "j", V.distance(F.col("x_i"), F.col("x_j"), DIM).alias("d"))
+    """(i, j, d) for each unordered pair of embeddings.
+
+    The array of one element keeps what follows from computing a distance again for each use of it.
+    """
+    return P.half_pairs(points(spark, sf_dir), ["x"]).select("i", "j", F.explode(F.array(V.distance(F.col("x_i"), F.col("x_j"), DIM))).alias("d"))
 
 
 def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
