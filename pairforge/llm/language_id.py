@@ -86,19 +86,20 @@ def top(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 
 
 def fit_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, fit_rows: int = FIT_ROWS, order_col: str | None = None) -> dict[str, list[int]]:
-    """Language -> n-gram codes by rank, from at most about ``fit_rows`` labelled rows.
+    """Language -> n-gram codes by rank, from at most ``fit_rows`` labelled rows.
 
-    The rows are those with the smallest hashes (of ``order_col``, else of the text); the bound is on the
-    classifier's training rows alone. Counting is spread over the tasks; only the profiles reach the
-    driver: ``size`` codes for each of at most LANGUAGES languages. Rows without language or text are
-    left out; no rows give no profiles.
+    The rows are those with the smallest hashes of their text (and of ``order_col``); of rows that are equal
+    in both, as many as the bound leaves room for. The bound is on the classifier's training rows alone.
+    Counting is spread over the tasks; only the profiles reach the driver: ``size`` codes for each of at
+    most LANGUAGES languages. Rows without language or text are left out; no rows give no profiles.
     """
-    key = F.xxhash64(order_col or text_col)
+    key = F.xxhash64(*([order_col] if order_col else []), text_col)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    total = rows.select(F.count("*")).first()[0]
-    if total > fit_rows:
-        share = int(fit_rows / total * 2**32)
-        rows = rows.where(key.bitwiseAND(F.lit(2**32 - 1)) < F.lit(share))
+    if rows.select(F.count("*")).first()[0] > fit_rows:
+        # ``fit_rows`` numbers, of which the largest is the bound.
+        last = rows.select(key.alias("key")).orderBy("key").limit(fit_rows).agg(F.max("key")).first()[0]
+        below = rows.where(key < F.lit(last))
+        rows = below.unionByName(rows.where(key == F.lit(last)).limit(fit_rows - below.count()))
     out = pa.schema([("lang", pa.string()), ("code", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

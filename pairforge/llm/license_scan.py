@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 #: Words of a shingle, MinHash bands, and the least share of a template's shingles in a window.
 WORDS, BANDS, CONTAINED = 5, 40, 0.8
-#: Shingles of a stretch, the part of a text that is looked at at once; rows of an index that may be broadcast.
-STRETCH, MOST_INDEX = 1 << 16, 200_000
+#: Shingles of a stretch, the part of a text that goes with each of its anchors; rows of an index that may be broadcast.
+STRETCH, MOST_INDEX = 1 << 10, 200_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 _WARRANTY = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."

@@ -197,12 +197,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id"))
     known = known.agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("double").alias("label"))
-    total = known.select(F.count("*")).first()[0]
-    if total > 2 * fit_rows:  # so many that chance leaves fit_rows of them all the same
-        share = int(2 * fit_rows / total * 2**32)
-        known = known.where(F.xxhash64("label_id").bitwiseAND(F.lit(2**32 - 1)) < F.lit(share))
-    # At most about 2 * fit_rows rows of two numbers: the size is bounded whatever the tables hold.
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(known), F.col("id") == F.col("label_id"))
+    keyed = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("key", F.xxhash64("id", "text"))
+    # Labels meet ids and hashes first, without texts: whatever share of the labels has documents, the bound is on what fits.
+    met = keyed.select("id", "key").join(known, F.col("id") == F.col("label_id")).select("label_id", "label", "key")
+    last = met.select("key").orderBy("key").limit(fit_rows).agg(F.max("key")).first()[0]
+    chosen = met.where(F.col("key") <= F.lit(last)).select("label_id", "label").distinct()
+    # No more ids than rows up to the bound, which are ``fit_rows`` and their repetitions.
+    rows = keyed.where(F.col("key") <= F.lit(last)).join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
     got = with_features(rows, "id", "text", (F.col("label"), F.xxhash64("id", "text"))).orderBy("keep_1", "id", *FEATURES).limit(fit_rows).toPandas()
     return fit(got[list(FEATURES)].to_numpy(float), got["keep_0"].to_numpy(float))
 
