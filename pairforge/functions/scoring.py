@@ -1,19 +1,13 @@
 """Score tables for alignments, as (a, b) -> score over symbols.
 
-The nucleotide table with ambiguity letters (NUC.4.4, also known as EDNAFULL) follows from how the sets
-of bases that two letters stand for lie to each other. Any other table, as those for proteins, is read
-from a file in the usual text form.
+The nucleotide table with ambiguity letters (NUC.4.4, also known as EDNAFULL) is built in. Any other
+table, as those for proteins, is read from a file in the usual text form.
 """
 
 from __future__ import annotations
 
 from pathlib import Path
 
-#: The bases of the IUPAC nucleotide letters. Fixed values.
-BASES = {
-    "A": "A", "T": "T", "U": "T", "G": "G", "C": "C", "S": "GC", "W": "AT", "R": "AG", "Y": "CT", "K": "GT", "M": "AC", "B": "CGT", "V": "ACG", "H": "ACT", "D": "AGT", "N": "ACGT",
-}
-
 Scores = dict[tuple[str, str], float]
 
 
@@ -21,24 +15,34 @@ def identity(symbols: str = "ABCDEFGHIJKLMNOPQRSTUVWXYZ*", match: float = 1.0, m
     return {(a, b): match if a == b else mismatch for a in symbols for b in symbols}
 
 
-#: Scores by the numbers of bases that the two letters stand for, the lesser first: where one set holds the other,
-#: where they share some bases, and where they share none. Fixed values.
-SCORES_BY_SETS = {
-    (1, 1): (5, None, -4), (1, 2): (1, None, -4), (1, 3): (-1, None, -4), (1, 4): (-2, None, None),
-    (2, 2): (-1, -2, -4), (2, 3): (-1, -3, None), (2, 4): (-1, None, None),
-    (3, 3): (-1, -2, None), (3, 4): (-1, None, None), (4, 4): (-1, None, None),
-}
+#: The published nucleotide scores, which are symmetric; U scores as T. Fixed values.
+NUCLEOTIDE = """
+   A  T  G  C  S  W  R  Y  K  M  B  V  H  D  N
+A  5
+T -4  5
+G -4 -4  5
+C -4 -4 -4  5
+S -4 -4  1  1 -1
+W  1  1 -4 -4 -4 -1
+R  1 -4  1 -4 -2 -2 -1
+Y -4  1 -4  1 -2 -2 -4 -1
+K -4  1  1 -4 -2 -2 -2 -2 -1
+M  1 -4 -4  1 -2 -2 -2 -2 -4 -1
+B -4 -1 -1 -1 -1 -3 -3 -1 -1 -3 -1
+V -1 -4 -1 -1 -1 -3 -1 -3 -3 -1 -2 -1
+H -1 -1 -4 -1 -3 -1 -3 -1 -3 -1 -2 -2 -1
+D -1 -1 -1 -4 -3 -1 -1 -3 -1 -3 -2 -2 -2 -1
+N -2 -2 -2 -2 -1 -1 -1 -1 -1 -1 -1 -1 -1 -1 -1
+"""
 
 
 def nucleotide() -> Scores:
     """Scores of the 16 nucleotide letters."""
-    out = {}
-    for a, x in BASES.items():
-        for b, y in BASES.items():
-            small, large = sorted((set(x), set(y)), key=len)
-            held, some, none = SCORES_BY_SETS[len(small), len(large)]
-            out[a, b] = float(held if small <= large else some if small & large else none)
-    return out
+    head, *rows = (line.split() for line in NUCLEOTIDE.strip().splitlines())
+    half = {(a, b): float(v) for a, *values in rows for b, v in zip(head, values)}
+    as_t = {"U": "T"}
+    letters = [*head, *as_t]
+    return {(a, b): half.get((x := as_t.get(a, a), y := as_t.get(b, b)), half.get((y, x))) for a in letters for b in letters}
 
 
 def named(name: str, molecule: str = "dna", folder: str | None = None) -> Scores:

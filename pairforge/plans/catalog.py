@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES: tuple[str, ...] = ("basics", "clustering", "sequences", "annealing", "files", "control", "soft")
+_MODULES: tuple[str, ...] = ("basics", "clustering", "sequences", "annealing", "files", "control", "soft", "runs")
 
 
 def _modules() -> list:

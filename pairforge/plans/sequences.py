@@ -35,8 +35,11 @@ def sequence_index(spark, sf):
 
 
 def score_table(spark, sf):
-    rows = [(a, b, float(v)) for (a, b), v in nucleotide().items()]
-    return spark.createDataFrame(rows, "a string, b string, score double")
+    """Scores of the nucleotide letters that the benchmark texts are written with, and how often the first comes."""
+    letters = table(spark, sf, "benchmark").select(F.explode(F.split(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "")).alias("a")).groupBy("a").agg(F.count("*").alias("n"))
+    scores = spark.createDataFrame([(a, b, float(v)) for (a, b), v in nucleotide().items()], "a string, b string, score double")
+    # As many rows as pairs of letters.
+    return letters.join(F.broadcast(scores), "a").select("a", "b", "score", "n")
 
 
 def alignment_identities(spark, sf):
@@ -141,11 +144,8 @@ _COLS = _PAIR + """, col AS (SELECT idx, w, a, b, unnest(range(w)) AS i FROM al)
     count(CASE WHEN p <> '-' AND q <> '-' AND p <> q AND (p IN ('A', 'G')) = (q IN ('A', 'G')) THEN 1 END) AS ts, count(CASE WHEN p <> '-' AND q <> '-' AND (p IN ('A', 'G')) <> (q IN ('A', 'G')) THEN 1 END) AS tv FROM c GROUP BY idx)"""
 ORACLE_SQL = {
     "sequence_index": f"WITH {_SEQ} SELECT idx, concat('item ', idx) AS label, length(residues) AS length, substring(residues, 3, 12) AS part FROM seq",
-    # Letters as bits A 1, C 2, G 4, T 8.
-    "score_table": """WITH s(x, m) AS (VALUES ('A', 1), ('C', 2), ('G', 4), ('T', 8), ('U', 8), ('M', 3), ('R', 5), ('W', 9), ('S', 6), ('Y', 10), ('K', 12), ('V', 7), ('H', 11), ('D', 13), ('B', 14), ('N', 15)),
-p AS (SELECT a.x AS a, b.x AS b, least(bit_count(a.m), bit_count(b.m)) AS n, greatest(bit_count(a.m), bit_count(b.m)) AS k, bit_count(a.m & b.m) AS both_ FROM s a CROSS JOIN s b)
-SELECT a, b, CAST(CASE WHEN n = 1 THEN CASE WHEN both_ = 0 THEN -4 ELSE CASE k WHEN 1 THEN 5 WHEN 2 THEN 1 WHEN 3 THEN -1 ELSE -2 END END
-  WHEN both_ = n THEN -1 WHEN n = 2 AND k = 2 THEN CASE both_ WHEN 1 THEN -2 ELSE -4 END WHEN n = 2 THEN -3 ELSE -2 END AS DOUBLE) AS score FROM p""",
+    "score_table": f"""WITH l AS (SELECT unnest(string_split(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '')) AS a FROM benchmark), n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+s(a, b, score) AS (VALUES {', '.join(f"('{a}', '{b}', CAST({v} AS DOUBLE))" for (a, b), v in nucleotide().items())}) SELECT a, b, score, n FROM s JOIN n USING (a)""",
     "alignment_identities": f"WITH {_COLS} SELECT idx, round(same / w, 6) AS pid, round(same / paired, 6) AS pid_non_gap, round(same / span, 6) AS pid_overlap, round(same / w, 6) AS similarity FROM n",
     "alignment_distances": f"""WITH {_COLS}, f AS (SELECT *, ts / paired AS p, tv / paired AS q, 1 - 4.0::DOUBLE / 3 * (1 - same / paired) AS inside FROM n)
 SELECT idx, round(CASE WHEN 1 - 2 * p - q > 0 AND 1 - 2 * q > 0 THEN least(-0.5 * ln(1 - 2 * p - q) - 0.25 * ln(1 - 2 * q), 10) ELSE 10 END, 6) AS kimura, round(CASE WHEN inside > 1e-12 THEN -0.75 * ln(inside) ELSE 10 END, 6) AS jukes_cantor, round(1 - same / w, 6) AS pid_distance FROM f""",
