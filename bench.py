@@ -14,6 +14,7 @@ HEADLINE = (
     "kmeans_center_stats", "kmeans_two_iterations", "pairs_all_mirrored", "pairs_membership_pass", "density_matrix", "vda_memberships",
     "compare_best_overlap", "reduce_vectors", "reduce_correlation", "smith_waterman", "needleman_wunsch", "rotation_fit",
     "transform_bin_weights", "centers_all_methods", "da_m_step", "mds_gradient", "mds_hessian_product", "kmeans_bounded", "mds_center",
+    "vda_em_update", "vda_bounded_memberships", "lcms_sponge_again", "file_matrix_slices", "function_statistics",
 )
 
 
