@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,10 @@ def bin_number(value: Column, low: Column, size: Column, bins: int) -> Column:
 def closed_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
     """Bins 0 to bins - 1 of [low, high], the last one closed."""
     return F.least(F.floor((value - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("long")
+
+
+def marginals(cells: DataFrame, within: str) -> DataFrame:
+    """(part, axis, bin, n) of a matrix (cx, cy, within, n): its sums over either axis, whole and for the cells with ``within`` true (intra) or false (inter)."""
+    part = F.explode(F.array(F.lit("whole"), F.when(F.col(within), "intra").otherwise("inter")))
+    axes = F.array(F.struct(F.lit("x").alias("axis"), F.col("cx").alias("bin")), F.struct(F.lit("y").alias("axis"), F.col("cy").alias("bin")))
+    return cells.select(part.alias("part"), axes.alias("axes"), "n").select("part", F.explode("axes").alias("e"), "n").groupBy("part", "e.axis", "e.bin").agg(F.sum("n").alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -47,46 +48,128 @@ def igamc(a: float, x: float) -> float:
     return h * math.exp(a * math.log(x) - x - math.lgamma(a))
 
 
-def ibeta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - ibeta(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    f = c = 1.0
-    d = 0.0
+def ibeta(a, b, x) -> np.ndarray:
+    """Regularised incomplete beta function of arrays, by its continued fraction on the side where that is short."""
+    a, b, x = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, x)))
+    swap = x > (a + 1) / (a + b + 2)
+    p, q, t = np.where(swap, b, a), np.where(swap, a, b), np.clip(np.where(swap, 1 - x, x), 1e-300, 1 - 1e-16)
+    log_beta = _lgamma(a) + _lgamma(b) - _lgamma(a + b)
+    front = np.exp(p * np.log(t) + q * np.log1p(-t) - log_beta) / p
+    f, c, d = np.ones_like(t), np.ones_like(t), np.zeros_like(t)
     for i in range(1000):
         m = i // 2
-        n = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        if i == 0:
+            n = np.ones_like(t)
+        elif i % 2 == 0:
+            n = m * (q - m) * t / ((p + 2 * m - 1) * (p + 2 * m))
+        else:
+            n = -(p + m) * (p + q + m) * t / ((p + 2 * m) * (p + 2 * m + 1))
         d, c = 1 + n * d, 1 + n / c
-        d = 1 / (d or 1e-300)
-        c = c or 1e-300
-        f *= c * d
-        if abs(1 - c * d) < 1e-16:
+        d, c = 1 / np.where(d == 0, 1e-300, d), np.where(c == 0, 1e-300, c)
+        f = f * c * d
+        if np.all(np.abs(1 - c * d) < 1e-15):
             break
-    return front * (f - 1)
-
-
-def _integral(f, low: float, high: float, n: int = 4000) -> float:
-    t = np.linspace(low, high, n + 1)
-    v = f(t)
-    return float((v[0] + v[-1] + 4 * v[1:-1:2].sum() + 2 * v[2:-1:2].sum()) * (high - low) / n / 3)
-
-
-def bessel_j(n: int, x: float) -> float:
-    """Bessel function of the first kind of integer order, from its integral; the integrand is periodic, so the rule converges fast."""
-    return _integral(lambda t: np.cos(n * t - x * np.sin(t)), 0, math.pi) / math.pi
+    part = front * (f - 1)
+    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, np.where(swap, 1 - part, part)))
+
+
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+#: Values times nodes held at once.
+CELLS = 1 << 20
+
+
+@functools.lru_cache(maxsize=64)
+def _nodes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gauss-Legendre nodes and weights on 0 to 1."""
+    t, w = np.polynomial.legendre.leggauss(n)
+    return (t + 1) / 2, w / 2
+
+
+def _in_chunks(f, n: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """f of arrays (n, x) and the number of nodes, values of like size together; that number grows with order and argument."""
+    out = np.full(x.shape, np.nan)
+    order = np.argsort(np.abs(n) + np.abs(x), kind="stable")
+    order = order[np.isfinite(x[order])]
+    at = 0
+    while at < len(order):
+        here = order[at : at + 4096]
+        while True:
+            nodes = 64 * (1 + int(np.max(np.abs(n[here]) + np.abs(x[here])) + 40) // 64)
+            if len(here) * nodes <= CELLS or len(here) == 1:
+                break
+            here = here[: len(here) // 2]
+        out[here] = f(n[here], x[here], nodes)
+        at += len(here)
+    return out
+
+
+def _j(n: np.ndarray, x: np.ndarray, nodes: int) -> np.ndarray:
+    # The integrand is even and periodic, so the trapezoid rule converges exponentially.
+    t = np.linspace(0, math.pi, nodes + 1)
+    v = np.cos(np.outer(n, t) - np.outer(x, np.sin(t)))
+    return (v.sum(1) - 0.5 * (v[:, 0] + v[:, -1])) / nodes
+
+
+def _y(n: np.ndarray, x: np.ndarray, nodes: int) -> np.ndarray:
+    t, w = _nodes(nodes)
+    first = np.sin(np.outer(x, np.sin(math.pi * t)) - np.outer(n, math.pi * t)) @ w
+    u, v = _nodes(32)
+    high = np.arcsinh((745 + 40 * np.abs(n)) / x) + 1
+    second = np.zeros_like(x)
+    for part in range(16):
+        at = high[:, None] * ((part + u) / 16)
+        fall = x[:, None] * np.sinh(at)
+        odd = np.where(n % 2 == 0, 1.0, -1.0)[:, None]
+        second += (np.exp(n[:, None] * at - fall) + odd * np.exp(-n[:, None] * at - fall)) @ v * high / 16
+    return first - second / math.pi
+
+
+def bessel_j(n, x) -> np.ndarray:
+    """Bessel function of the first kind of integer order, from its integral; arrays or numbers, nan for infinite arguments."""
+    n, x = np.broadcast_arrays(np.asarray(n, float), np.asarray(x, float))
+    return _in_chunks(_j, n.ravel(), x.ravel()).reshape(x.shape)
+
+
+def bessel_y(n, x) -> np.ndarray:
+    """Bessel function of the second kind of integer order; minus infinity at 0, nan below."""
+    n, x = np.broadcast_arrays(np.asarray(n, float), np.asarray(x, float))
+    flat_n, flat = n.ravel(), x.ravel()
+    out = np.where(flat == 0, -np.inf, np.nan)
+    above = flat > 0
+    out[above] = _in_chunks(_y, flat_n[above], flat[above])
+    return out.reshape(x.shape)
+
+
+def _arrays(f, count: int):
+    """A UDF of whole columns; null where any argument is."""
+
+    def call(*columns: pd.Series) -> pd.Series:
+        values = [c.to_numpy(float, na_value=np.nan) for c in columns]
+        known = ~np.any([np.isnan(v) for v in values], axis=0)
+        out = np.full(len(known), np.nan)
+        out[known] = f(*(v[known] for v in values))
+        return pd.Series(out).where(known, None)
+
+    if count == 1:
+
+        @pandas_udf("double")
+        def one(x: pd.Series) -> pd.Series:
+            return call(x)
+
+        return one
+    if count == 2:
+
+        @pandas_udf("double")
+        def two(a: pd.Series, x: pd.Series) -> pd.Series:
+            return call(a, x)
+
+        return two
 
+    @pandas_udf("double")
+    def three(a: pd.Series, b: pd.Series, x: pd.Series) -> pd.Series:
+        return call(a, b, x)
 
-def bessel_y(n: int, x: float) -> float:
-    """Bessel function of the second kind of integer order for x > 0."""
-    if x <= 0:
-        return float("-inf") if x == 0 else float("nan")
-    first = _integral(lambda t: np.sin(x * np.sin(t) - n * t), 0, math.pi) / math.pi
-    high = math.asinh(745 / x) + 1
-    second = _integral(lambda t: (np.exp(n * t) + (-1) ** n * np.exp(-n * t)) * np.exp(-x * np.sinh(t)), 0, high, 20_000) / math.pi
-    return first - second
+    return three
 
 
 def _one(f):
@@ -111,7 +194,8 @@ def udfs() -> dict:
         "igam": _two(igam), "igamc": _two(igamc), "lgamma": _one(math.lgamma), "gamma": _one(math.gamma), "erf": _one(math.erf), "erfc": _one(math.erfc),
         "normal": _one(lambda x: 0.5 * math.erfc(-x / math.sqrt(2))), "chisq": _two(lambda df, x: igam(df / 2, x / 2)), "chisqc": _two(lambda df, x: igamc(df / 2, x / 2)),
         "poisson": _two(lambda k, x: igamc(k + 1, x)), "poissonc": _two(lambda k, x: igam(k + 1, x)),
-        "j0": _one(lambda x: bessel_j(0, x)), "j1": _one(lambda x: bessel_j(1, x)), "y0": _one(lambda x: bessel_y(0, x)), "y1": _one(lambda x: bessel_y(1, x)), "jn": _two(lambda n, x: bessel_j(int(n), x)), "yn": _two(lambda n, x: bessel_y(int(n), x)),
+        "j0": _arrays(lambda x: bessel_j(0, x), 1), "j1": _arrays(lambda x: bessel_j(1, x), 1), "y0": _arrays(lambda x: bessel_y(0, x), 1), "y1": _arrays(lambda x: bessel_y(1, x), 1),
+        "jn": _arrays(bessel_j, 2), "yn": _arrays(bessel_y, 2), "ibeta": _arrays(ibeta, 3),
     }
 
 

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairforge.functions import vector as V
+from pairforge.operators import pairs as P
 from pairforge.operators import reductions as R
+from pairforge.operators.joins import split_join
+from pairforge.session import stage
 
 
 def group_edges(edges: DataFrame, groups: DataFrame) -> DataFrame:
@@ -16,6 +19,23 @@ def group_edges(edges: DataFrame, groups: DataFrame) -> DataFrame:
     return edges.join(a, "i").join(b, "j").where("grp = grp_j").select("grp", "i", "j", "d")
 
 
+def position_edges(points: DataFrame, dim: int | None = None) -> DataFrame:
+    """(grp, i, j, d): Euclidean distances within groups of (id, grp, x), both ways; positions may be those of a scaling.
+
+    Pairs are made within groups only, over a grid of blocks of each group, so a large group is many keys.
+    """
+    sizes = points.groupBy("grp").agg(F.ceil(F.count("*") / P.BLOCK_POINTS).alias("blocks"))
+    dealt = split_join(points.select("id", "grp", "x"), sizes, ["grp"], "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    grid = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    keep = P.chosen_block(F.col("row_block"), F.col("col_block"))
+    a = dealt.select("grp", F.col("block").alias("row_block"), grid.alias("col_block"), F.col("id").alias("i"), F.col("x").alias("xi")).where(keep)
+    b = dealt.select("grp", F.col("block").alias("col_block"), grid.alias("row_block"), F.col("id").alias("j"), F.col("x").alias("xj")).where(keep)
+    half = a.join(b, ["grp", "row_block", "col_block"]).where("row_block <> col_block or i > j")
+    once = half.select("grp", "i", "j", F.explode(F.array(V.distance(F.col("xi"), F.col("xj"), dim))).alias("d"))
+    both = F.array(F.struct("i", "j", "d"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+    return once.select("grp", F.explode(both).alias("e")).select("grp", "e.i", "e.j", "e.d")
+
+
 def ranked(scores: DataFrame, k: int) -> DataFrame:
     """The k lowest scores of each group: (grp, id, score, rank)."""
     order = Window.partitionBy("grp").orderBy("score", "id")
@@ -28,26 +48,38 @@ def mean_distance(within: DataFrame, least: float = 0.0, links: int = 1) -> Data
     return means.where(F.col("n") >= max(1, links)).select("grp", "id", "score")
 
 
-def to_centroid(points: DataFrame) -> DataFrame:
+def to_centroid(points: DataFrame, dim: int | None = None) -> DataFrame:
     """Scores by the distance to the group's mean position; ``points`` is (id, grp, x)."""
-    means = R.elementwise(points, "x", "mean", ("grp",)).groupBy("grp").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda e: e["value"]).alias("y"))
-    return points.join(means, "grp").select("grp", "id", V.distance(F.col("x"), F.col("y")).alias("score"))
+    means = R.elementwise(points, "x", "mean", ("grp",), dim).groupBy("grp").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda e: e["value"]).alias("y"))
+    return split_join(points, means, ["grp"], "id").select("grp", "id", V.distance(F.col("x"), F.col("y"), dim).alias("score"))
 
 
-def bucket_radius(within: DataFrame, fraction: float, bins: int = 1000) -> DataFrame:
-    """(grp, radius): the middle of the first bin before which at least ``fraction`` of a group's pairs lie."""
+def running_counts(within: DataFrame, bins: int = 1000) -> DataFrame:
+    """(grp, top, total, bin, n, upto): each group's distances in ``bins`` bins up to its largest, and how many lie in a bin or before it."""
     top = within.groupBy("grp").agg(F.max("d").alias("top"), F.count("*").alias("total"))
-    counts = within.join(top, "grp").groupBy("grp", "top", "total", F.least(F.floor(F.col("d") / F.col("top") * bins), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"))
-    running = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("grp").orderBy("bin")))
+    counts = split_join(within, top, ["grp"], "i").groupBy("grp", "top", "total", F.least(F.floor(F.col("d") / F.col("top") * bins), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"))
+    return counts.withColumn("upto", F.sum("n").over(Window.partitionBy("grp").orderBy("bin")))
+
+
+def bucket_radius(running: DataFrame, fraction: float, bins: int = 1000) -> DataFrame:
+    """(grp, radius): the middle of the first bin of ``running_counts`` before which at least ``fraction`` of a group's pairs lie."""
     # The bin after the one whose running count reaches the fraction; empty bins count too.
     reached = running.where(F.col("upto") >= F.col("total") * fraction).groupBy("grp").agg(F.min("bin").alias("bin"), F.first("top").alias("top"))
     return reached.select("grp", ((F.least(F.col("bin") + 1, F.lit(bins - 1)) + 0.5) * F.col("top") / bins).alias("radius"))
 
 
-def neighbours_in_bucket(within: DataFrame, sizes: DataFrame, fraction: float) -> DataFrame:
-    """Scores by group size less neighbours within the bucket's radius; points without any are left out."""
-    near = within.join(bucket_radius(within, fraction), "grp").where("d <= radius").groupBy("grp", F.col("i").alias("id")).agg(F.count("*").alias("n"))
-    return near.join(sizes, "grp").select("grp", "id", (F.col("size") - F.col("n")).cast("double").alias("score"))
+def neighbours_in_buckets(within: DataFrame, sizes: DataFrame, fractions: tuple[float, ...], running: DataFrame | None = None) -> list[DataFrame]:
+    """For each fraction, scores by group size less neighbours within the bucket's radius; points without any are left out.
+
+    One pass over the distances counts the neighbours of all fractions.
+    """
+    running = running_counts(within) if running is None else running
+    radii = sizes
+    for n, f in enumerate(fractions):
+        radii = radii.join(bucket_radius(running, f).withColumnRenamed("radius", f"radius{n}"), "grp", "left")
+    counts = [F.count_if(F.col("d") <= F.col(f"radius{n}")).alias(f"n{n}") for n in range(len(fractions))]
+    near = stage(within.sparkSession, split_join(within, radii, ["grp"], "i").groupBy("grp", "size", F.col("i").alias("id")).agg(*counts), "neighbours")
+    return [near.where(F.col(f"n{n}") > 0).select("grp", "id", (F.col("size") - F.col(f"n{n}")).cast("double").alias("score")) for n in range(len(fractions))]
 
 
 def overall(rankings: list[tuple[DataFrame, float]], k: int, least_weight: float = 0.6) -> DataFrame:
@@ -57,17 +89,24 @@ def overall(rankings: list[tuple[DataFrame, float]], k: int, least_weight: float
     for p in parts[1:]:
         union = union.unionByName(p)
     rated = union.groupBy("grp", "id").agg(F.sum("r").alias("r"), F.sum("w").alias("w")).where(F.col("w") > least_weight)
-    return ranked(rated.select("grp", "id", (F.col("r") / F.col("w")).alias("score")), k)
+    # Rounded, so that equal ratings tie whatever the order in which their parts were added.
+    return ranked(rated.select("grp", "id", F.round(F.col("r") / F.col("w"), 9).alias("score")), k)
+
 
+def group_centers(edges: DataFrame, points: DataFrame, k: int = 8, fractions: tuple[float, ...] = (0.15, 0.4, 0.75), dim: int | None = None) -> DataFrame:
+    """All measures for each group of more than k members of (id, grp, x): (grp, method, id, score, rank).
 
-def group_centers(edges: DataFrame, points: DataFrame, k: int = 8, fractions: tuple[float, ...] = (0.15, 0.4, 0.75)) -> DataFrame:
-    """All measures for each group of more than k members: (grp, method, id, score, rank)."""
+    ``edges`` is (i, j, d), or (grp, i, j, d) if it has only distances within groups (``position_edges``).
+    """
+    spark = points.sparkSession
     sizes = points.groupBy("grp").agg(F.count("*").alias("size")).where(F.col("size") > k)
     kept = points.join(sizes.select("grp"), "grp", "left_semi")
-    within = group_edges(edges, kept.select("id", "grp"))
-    methods = {"mean_distance": ranked(mean_distance(within), k), "to_centroid": ranked(to_centroid(kept), k)}
-    for f in fractions:
-        methods[f"bucket_{f}"] = ranked(neighbours_in_bucket(within, sizes, f), k)
+    own = edges.join(sizes.select("grp"), "grp", "left_semi") if "grp" in edges.columns else group_edges(edges, kept.select("id", "grp"))
+    within = stage(spark, own, "within")
+    rankings = {"mean_distance": ranked(mean_distance(within), k), "to_centroid": ranked(to_centroid(kept, dim), k)}
+    for f, scores in zip(fractions, neighbours_in_buckets(within, sizes, fractions, stage(spark, running_counts(within), "running"))):
+        rankings[f"bucket_{f}"] = ranked(scores, k)
+    methods = {name: stage(spark, r, "ranking") for name, r in rankings.items()}
     weights = [1.0, 1.0] + [1.0 / len(fractions)] * len(fractions)
     methods["overall"] = overall(list(zip(methods.values(), weights)), k)
     out = None

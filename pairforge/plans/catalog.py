@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES: tuple[str, ...] = ("basics", "clustering", "sequences", "annealing", "curvature", "files", "control", "soft", "runs")
+_MODULES: tuple[str, ...] = ("basics", "clustering", "sequences", "annealing", "curvature", "files", "control", "soft", "runs", "quality")
 
 
 def _modules() -> list:

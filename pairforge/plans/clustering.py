@@ -80,6 +80,16 @@ def density_matrix(spark, sf):
     return cells.groupBy("cx", "cy").agg(F.count("*").alias("n"))
 
 
+def density_marginals(spark, sf):
+    """Both axes of the density matrix by themselves, for all pairs, those of one label and those of two."""
+    pairs = P.half_pairs(points(spark, sf), ["x", "label"])
+    measured = F.array(F.struct(V.distance(F.col("x_i"), F.col("x_j"), DIM).alias("a"), V.distance(F.col("x_i"), F.col("x_j"), 3).alias("b")))
+    d = stage(spark, pairs.select(F.explode(measured).alias("e"), (F.col("label_i") == F.col("label_j")).alias("intra")).select("e.*", "intra"), "distances")
+    span = d.agg(F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"))
+    cells = d.join(F.broadcast(span)).select("intra", H.closed_bin(F.col("a"), F.col("a0"), F.col("a1"), 50).alias("cx"), H.closed_bin(F.col("b"), F.col("b0"), F.col("b1"), 50).alias("cy"))
+    return H.marginals(cells.groupBy("cx", "cy", "intra").agg(F.count("*").alias("n")), "intra")
+
+
 def density_range(spark, sf):
     pts = points(spark, sf)
     d = P.half_pairs(pts.select("id", "x", "label"), ["x", "label"]).select(V.distance(F.col("x_i"), F.col("x_j"), DIM).alias("d"), (F.col("label_i") == F.col("label_j")).alias("intra"))
@@ -91,7 +101,14 @@ def _groups(spark, sf):
 
 
 def group_centers(spark, sf):
-    return C.group_centers(distances(spark, sf), _groups(spark, sf), 3).select("grp", "method", "id", r6("score"), "rank")
+    g = _groups(spark, sf)
+    return C.group_centers(C.position_edges(g, DIM), g, 3, dim=DIM).select("grp", "method", "id", r6("score"), "rank")
+
+
+def group_centers_mapped(spark, sf):
+    """Centers by distances between mapped positions, here the first three dimensions."""
+    g = _groups(spark, sf).withColumn("x", F.slice("x", 1, 3))
+    return C.group_centers(C.position_edges(g, 3), g, 3, dim=3).select("grp", "method", "id", r6("score"), "rank")
 
 
 def kmeans_assignment(spark, sf):
@@ -199,7 +216,7 @@ def cluster_property_histogram(spark, sf):
 QUERIES = {
     "transform_cut": distance_cut, "transform_methods": distance_transforms, "transform_prune_links": prune_links, "transform_bin_weights": distance_bin_weights,
     "select_points": selection, "weights_mean_one": weights_mean_one, "relabel_points": relabel, "histogram_pretty": pretty_histogram,
-    "density_matrix": density_matrix, "density_range": density_range, "centers_all_methods": group_centers,
+    "density_matrix": density_matrix, "density_range": density_range, "density_marginals": density_marginals, "centers_all_methods": group_centers, "centers_mapped": group_centers_mapped,
     "kmeans_assignment": kmeans_assignment, "kmeans_center_stats": kmeans_center_stats, "kmeans_two_iterations": kmeans_two_iterations, "kmeans_converged": kmeans_converged,
     "kmeans_start": kmeans_start, "kmeans_nearest_centers": nearest_centers, "kmeans_distance_histogram": center_histogram,
     "compare_reindex": reindexed, "compare_size_histogram": size_histogram, "compare_widths": widths, "compare_best_overlap": best_overlap, "compare_cut_center": cut_centers,
@@ -245,7 +262,7 @@ def _cut_sql(passes: int) -> str:
     return out
 
 
-def _centers_sql(k: int = 3) -> str:
+def _centers_sql(k: int = 3, dim: int = 64) -> str:
     rank = lambda x: f"SELECT grp, id, score, row_number() OVER (PARTITION BY grp ORDER BY score, id) AS rank FROM {x} QUALIFY rank <= {k}"
     sql = DIST + f""", s AS (SELECT CAST(label AS BIGINT) AS grp, count(*) AS size FROM pts GROUP BY label HAVING count(*) > {k}),
   q AS (SELECT id, CAST(label AS BIGINT) AS grp, x FROM pts WHERE label IN (SELECT grp FROM s)),
@@ -262,9 +279,9 @@ def _centers_sql(k: int = 3) -> str:
   b{n} AS (SELECT w.grp, i AS id, CAST(any_value(size) - count(*) AS DOUBLE) AS score FROM within w JOIN rad{n} ON rad{n}.grp = w.grp JOIN s ON s.grp = w.grp WHERE d <= radius GROUP BY w.grp, i), rb{n} AS ({rank(f"b{n}")})"""
         union.append(f"SELECT grp, 'bucket_{f}', id, score, rank, CAST(1.0 AS DOUBLE) / 3 FROM rb{n}")
     sql += f""", every AS ({" UNION ALL ".join(union)}),
-  o AS (SELECT grp, id, sum(rank * w) / sum(w) AS score FROM every GROUP BY grp, id HAVING sum(w) > 0.6), ro AS ({rank("o")})
+  o AS (SELECT grp, id, round(sum(rank * w) / sum(w), 9) AS score FROM every GROUP BY grp, id HAVING sum(w) > 0.6), ro AS ({rank("o")})
   SELECT grp, method, id, round(score, 6) AS score, rank FROM every UNION ALL SELECT grp, 'overall', id, round(score, 6), rank FROM ro"""
-    return "WITH " + sql
+    return "WITH " + (sql if dim == 64 else sql.replace("range(64)", f"range({dim})").replace("CAST(embedding AS DOUBLE[])", f"CAST(embedding AS DOUBLE[])[1:{dim}]"))
 
 
 ORACLE_SQL = {
@@ -281,7 +298,12 @@ SELECT CAST(greatest(0, least(26, floor((o_totalprice - start) / size) + 1)) AS
     "density_matrix": f"""WITH {PTS}, d AS (SELECT list_distance(a.x, b.x) AS a, list_distance(a.x[1:3], b.x[1:3]) AS b FROM pts a JOIN pts b ON a.id > b.id), s AS (SELECT min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1 FROM d)
 SELECT CAST(least(floor((a - a0) / ((a1 - a0) / 50)), 49) AS BIGINT) AS cx, CAST(least(floor((b - b0) / ((b1 - b0) / 50)), 49) AS BIGINT) AS cy, count(*) AS n FROM d CROSS JOIN s GROUP BY 1, 2""",
     "density_range": f"WITH {PTS} SELECT a.label = b.label AS intra, count(*) AS n, round(min(list_distance(a.x, b.x)), 6) AS low, round(max(list_distance(a.x, b.x)), 6) AS high FROM pts a JOIN pts b ON a.id > b.id GROUP BY 1",
+    "density_marginals": f"""WITH {PTS}, d AS (SELECT a.label = b.label AS intra, list_distance(a.x, b.x) AS a, list_distance(a.x[1:3], b.x[1:3]) AS b FROM pts a JOIN pts b ON a.id > b.id), s AS (SELECT min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1 FROM d),
+c AS (SELECT intra, CAST(least(floor((a - a0) / ((a1 - a0) / 50)), 49) AS BIGINT) AS cx, CAST(least(floor((b - b0) / ((b1 - b0) / 50)), 49) AS BIGINT) AS cy FROM d CROSS JOIN s),
+e AS (SELECT intra, 'x' AS axis, cx AS bin FROM c UNION ALL SELECT intra, 'y', cy FROM c)
+SELECT 'whole' AS part, axis, bin, count(*) AS n FROM e GROUP BY axis, bin UNION ALL SELECT CASE WHEN intra THEN 'intra' ELSE 'inter' END, axis, bin, count(*) FROM e GROUP BY intra, axis, bin""",
     "centers_all_methods": _centers_sql(),
+    "centers_mapped": _centers_sql(dim=3),
     "kmeans_assignment": f"WITH {_ASSIGN} SELECT id, k, round(d, 6) AS d FROM near",
     "kmeans_center_stats": f"WITH {_ASSIGN} SELECT k, count(*) AS n, round(max(d), 6) AS radius, round(sum(d * d), 6) AS width FROM near GROUP BY k",
     "kmeans_two_iterations": f"WITH {_LLOYD} SELECT k, count(*) AS n, round(max(d), 6) AS radius, round(sum(d * d), 6) AS width FROM a1 GROUP BY k",

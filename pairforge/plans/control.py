@@ -72,27 +72,31 @@ def mds_trace_norm(spark, sf):
 
 
 def mds_predicted_change(spark, sf):
-    """The steepest-descent step and what it should and does change."""
+    """The steepest-descent step: what it should change by its linear and quadratic terms, and does."""
     d, p = stage(spark, distances(spark, sf), "distances"), _positions(spark, sf)
     state = stage(spark, p.join(X.gradient(d, p, FIT), "id").select("id", "x", "g", "h"), "state")
     step = stage(spark, M.steepest_descent(d, state, FIT), "step")
     linear, quadratic = M.predicted_change(d, step, FIT)
     before, after = (0.5 * M.chi_squared(d, step.select("id", X._mix("x", t, "s", 3).alias("x")), FIT) for t in (0.0, 1.0))
     factor, value = M.line_search(d, step, FIT)
-    names = ("falls", "linear_is_twice_quadratic", "search_not_worse")
-    return spark.createDataFrame([(after < before, abs(linear + 2 * quadratic) <= 1e-6 * abs(linear), 0.5 * value <= after * (1 + 1e-9) and factor > 0)], ", ".join(f"{n} boolean" for n in names))
+    got = {"linear": linear, "quadratic": quadratic, "before": before, "after": after}
+    row = (*(round(v, 3) for v in got.values()), after < before, 0.5 * value <= after * (1 + 1e-9) and factor > 0)
+    return spark.createDataFrame([row], ", ".join(f"{n} double" for n in got) + ", falls boolean, search_not_worse boolean")
 
 
 def mds_derivative_test(spark, sf):
-    numerical, analytical = M.derivative_test(stage(spark, distances(spark, sf), "distances"), _positions(spark, sf), FIT)
-    return spark.createDataFrame([(abs(numerical - analytical) <= 1e-4 * abs(analytical),)], "equal boolean")
+    """The derivative along a direction, by a difference and from the gradient."""
+    along = F.array(*((F.col("id") * (2 * k + 3) % 11).cast("double") / 11 - 0.5 for k in range(3)))
+    numerical, analytical = M.derivative_test(stage(spark, distances(spark, sf), "distances"), _positions(spark, sf), FIT, direction=along)
+    return spark.createDataFrame([(round(numerical, 2), round(analytical, 4))], "numerical double, analytical double")
 
 
 def mds_damping_limits(spark, sf):
     """Bounds of the Hessian's eigenvalues lie between zero and its trace and norm."""
     d, p = stage(spark, distances(spark, sf), "distances"), _positions(spark, sf)
     got, bound = M.damping_limits(d, p, FIT, most=15), M.trace_and_norm(d, p, FIT).first()
-    return spark.createDataFrame([(0 < got.low <= got.high, got.high <= 1.001 * min(bound["trace"], bound["norm"]))], "ordered boolean, bounded boolean")
+    top = min(bound["trace"], bound["norm"])
+    return spark.createDataFrame([(0 < got.low <= got.high, got.high <= 1.001 * top, round(top, 4))], "ordered boolean, bounded boolean, bound double")
 
 
 def vda_restart(spark, sf):
@@ -131,6 +135,27 @@ QUERIES = {
 
 _MDS_CENTER = DIST + ", c AS (SELECT i, avg(d) AS mean FROM dist GROUP BY i), best AS (SELECT arg_min(i, struct_pack(m := mean, i := i)) AS center, min(mean) AS radius FROM c)"
 _AXIS = _MDS_CENTER + ", ax AS (SELECT arg_min(i, struct_pack(d := -d, i := i)) AS point, max(d) AS d FROM dist JOIN best ON j = center)"
+_T = DIST + """, t AS MATERIALIZED (SELECT i, j, d, a.x[1] - b.x[1] AS u, a.x[2] - b.x[2] AS v, a.x[3] - b.x[3] AS w FROM dist JOIN pts a ON a.id = i JOIN pts b ON b.id = j),
+f AS MATERIALIZED (SELECT *, sqrt(u * u + v * v + w * w + 1e-6) AS far FROM t)"""
+_STEP = _T + """, g AS (SELECT i, sum(-2 * (d - far) * u / far) AS gu, sum(-2 * (d - far) * v / far) AS gv, sum(-2 * (d - far) * w / far) AS gw, sum(2 * u * u / (far * far)) AS hu, sum(2 * v * v / (far * far)) AS hv, sum(2 * w * w / (far * far)) AS hw FROM f GROUP BY i),
+s0 AS MATERIALIZED (SELECT *, -gu / sqrt(CASE WHEN hu > 0 THEN hu ELSE 1 END) AS su, -gv / sqrt(CASE WHEN hv > 0 THEN hv ELSE 1 END) AS sv, -gw / sqrt(CASE WHEN hw > 0 THEN hw ELSE 1 END) AS sw FROM g),
+e AS MATERIALIZED (SELECT f.*, a.su - b.su AS du, a.sv - b.sv AS dv, a.sw - b.sw AS dw FROM f JOIN s0 a ON a.i = f.i JOIN s0 b ON b.i = f.j WHERE f.i > f.j),
+m AS (SELECT gs, curve, -gs / curve AS factor FROM (SELECT sum(gu * su + gv * sv + gw * sw) AS gs FROM s0) CROSS JOIN (SELECT sum(2 * pow((u * du + v * dv + w * dw) / far, 2)) AS curve FROM e)),
+c AS (SELECT any_value(-factor * gs) AS linear, any_value(-0.5::DOUBLE * factor * factor * curve) AS quadratic, sum(pow(d - far, 2)) AS before, sum(pow(d - sqrt(pow(u + factor * du, 2) + pow(v + factor * dv, 2) + pow(w + factor * dw, 2) + 1e-6), 2)) AS after FROM e CROSS JOIN m)"""
+
+
+_TRACE_NORM = f"""WITH {DIST}, t AS (SELECT i, a.x[1] - b.x[1] AS u, a.x[2] - b.x[2] AS v, a.x[3] - b.x[3] AS w FROM dist JOIN pts a ON a.id = i JOIN pts b ON b.id = j),
+s AS (SELECT *, 2 / (u * u + v * v + w * w + 1e-6) AS s FROM t),
+g AS (SELECT i, sum(s * u * u) AS uu, sum(s * v * v) AS vv, sum(s * w * w) AS ww, sum(s * u * v) AS uv, sum(s * u * w) AS uw, sum(s * v * w) AS vw,
+  sum(s * abs(u) * (abs(u) + abs(v) + abs(w))) AS ou, sum(s * abs(v) * (abs(u) + abs(v) + abs(w))) AS ov, sum(s * abs(w) * (abs(u) + abs(v) + abs(w))) AS ow FROM s GROUP BY i)
+SELECT round(sum(uu + vv + ww), 4) AS trace, round(max(greatest(abs(uu) + abs(uv) + abs(uw) + ou, abs(uv) + abs(vv) + abs(vw) + ov, abs(uw) + abs(vw) + abs(ww) + ow)), 4) AS norm FROM g"""
+
+
+def _along(t: str) -> str:
+    new = " + ".join(f"pow({x} + {t} * (((i * {k} % 11) - (j * {k} % 11)) / 11.0::DOUBLE), 2)" for x, k in (("u", 3), ("v", 5), ("w", 7)))
+    return f"sum(pow(d - sqrt({new} + 1e-6), 2))"
+
+
 ORACLE_SQL = {
     "kmeans_bounded": f"WITH {_LLOYD} SELECT k, count(*) AS n, round(max(d), 6) AS radius, round(sum(d * d), 6) AS width FROM a1 GROUP BY k",
     "kmeans_bounded_converged": f"WITH {_converged_sql()} SELECT id, k, d FROM a",
@@ -142,14 +167,11 @@ SELECT 'x' AS which, point, round(d, 6) AS d FROM ax UNION ALL SELECT 'xy', arg_
     "transform_4d": f"""WITH RECURSIVE {DIST}, half AS (SELECT i, j, -ln(d / 2) AS first FROM dist WHERE i > j),
 r AS (SELECT i, j, first, first AS e, false AS done, 0 AS step FROM half UNION ALL SELECT i, j, first, first + ln(1 + e), abs(first + ln(1 + e) - e) < 1e-5, step + 1 FROM r WHERE NOT done AND step < 50)
 SELECT i, j, round(e, 6) AS t8, round(sqrt(e), 6) AS t9 FROM (SELECT i, j, arg_max(e, step) AS e FROM r GROUP BY i, j)""",
-    "mds_trace_norm": f"""WITH {DIST}, t AS (SELECT i, a.x[1] - b.x[1] AS u, a.x[2] - b.x[2] AS v, a.x[3] - b.x[3] AS w FROM dist JOIN pts a ON a.id = i JOIN pts b ON b.id = j),
-s AS (SELECT *, 2 / (u * u + v * v + w * w + 1e-6) AS s FROM t),
-g AS (SELECT i, sum(s * u * u) AS uu, sum(s * v * v) AS vv, sum(s * w * w) AS ww, sum(s * u * v) AS uv, sum(s * u * w) AS uw, sum(s * v * w) AS vw,
-  sum(s * abs(u) * (abs(u) + abs(v) + abs(w))) AS ou, sum(s * abs(v) * (abs(u) + abs(v) + abs(w))) AS ov, sum(s * abs(w) * (abs(u) + abs(v) + abs(w))) AS ow FROM s GROUP BY i)
-SELECT round(sum(uu + vv + ww), 4) AS trace, round(max(greatest(abs(uu) + abs(uv) + abs(uw) + ou, abs(uv) + abs(vv) + abs(vw) + ov, abs(uw) + abs(vw) + abs(ww) + ow)), 4) AS norm FROM g""",
-    "mds_predicted_change": "SELECT true AS falls, true AS linear_is_twice_quadratic, true AS search_not_worse",
-    "mds_derivative_test": "SELECT true AS equal",
-    "mds_damping_limits": "SELECT true AS ordered, true AS bounded",
+    "mds_trace_norm": _TRACE_NORM,
+    "mds_predicted_change": f"WITH {_STEP} SELECT round(linear, 3) AS linear, round(quadratic, 3) AS quadratic, round(before, 3) AS before, round(after, 3) AS after, after < before AS falls, true AS search_not_worse FROM c",
+    "mds_derivative_test": f"""WITH {_T} SELECT round(({_along("1e-4::DOUBLE")} - {_along("-1e-4::DOUBLE")}) / 2e-4::DOUBLE, 2) AS numerical,
+  round(sum(-2 * (d - far) / far * (u * ((i * 3 % 11) - (j * 3 % 11)) + v * ((i * 5 % 11) - (j * 5 % 11)) + w * ((i * 7 % 11) - (j * 7 % 11))) / 11.0::DOUBLE), 4) AS analytical FROM f WHERE i > j""",
+    "mds_damping_limits": "SELECT true AS ordered, true AS bounded, least(trace, norm) AS bound FROM (" + _TRACE_NORM + ")",
     "vda_restart": f"""WITH {PTS}, l AS (SELECT id, x, CASE WHEN id % 17 = 0 THEN -1 ELSE label END AS k FROM pts), n AS (SELECT k, count(*) / (SELECT count(*) FROM l) AS p FROM l GROUP BY k),
 e AS (SELECT k, unnest(range(64)) AS pos, unnest(x) AS v FROM l WHERE k >= 0), m AS (SELECT k, pos, avg(v) AS v FROM e GROUP BY k, pos), y AS (SELECT k, sum(v) AS total FROM m GROUP BY k)
 SELECT CAST(n.k AS BIGINT) AS k, round(p, 6) AS p, round(total, 6) AS total FROM n LEFT JOIN y ON y.k = n.k""",

@@ -83,6 +83,14 @@ def needleman_wunsch(spark, sf):
     return got.select("i", "j", F.col("score").cast("double").alias("score"), F.col("identity").cast("long").alias("identity"), "gaps", r6(A.percent_identity(F.col("aligned1"), F.col("aligned2")), "pid"))
 
 
+def alignment_scores(spark, sf):
+    """Best local and global scores of all pairs of sequences."""
+    pairs = _all_pairs(spark, sf)
+    near = A.align_pairs(pairs, "a", "b", ["i", "j"]).select("i", "j", F.col("score").cast("long").alias("local"))
+    far = A.align_pairs(pairs, "a", "b", ["i", "j"], local=False).select("i", "j", F.col("score").cast("long").alias("global"))
+    return near.join(far, ["i", "j"])
+
+
 def _lcms_lines(spark, sf):
     i = table(spark, sf, "lineitem")
     cols = [F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_extendedprice"), F.col("l_quantity"), F.col("l_linenumber"), F.lit("PEP"), F.col("l_partkey"), F.col("l_suppkey"), F.lit(-1)]
@@ -133,7 +141,7 @@ def special_functions(spark, sf):
 
 QUERIES = {
     "sequence_index": sequence_index, "score_table": score_table, "alignment_identities": alignment_identities, "alignment_distances": alignment_distances, "alignment_self_scores": self_scores,
-    "alignment_analysis": alignment_analysis, "smith_waterman": smith_waterman, "needleman_wunsch": needleman_wunsch, "lcms_points": lcms_points, "lcms_charges": lcms_charges,
+    "alignment_analysis": alignment_analysis, "smith_waterman": smith_waterman, "needleman_wunsch": needleman_wunsch, "alignment_scores": alignment_scores, "lcms_points": lcms_points, "lcms_charges": lcms_charges,
     "labels_and_lengths": labels_and_lengths, "point_properties": point_properties, "center_lines": center_lines, "hyperbolic": hyperbolic, "special_functions": special_functions,
 }
 
@@ -142,7 +150,50 @@ _PAIR = _SEQ + ", nb AS (SELECT s.idx, s.residues, t.residues AS other, greatest
 _COLS = _PAIR + """, col AS (SELECT idx, w, a, b, unnest(range(w)) AS i FROM al), c AS (SELECT idx, i, a[i + 1] AS p, b[i + 1] AS q, w, greatest(length(regexp_extract(a, '^-*')), length(regexp_extract(b, '^-*'))) AS lead, greatest(length(regexp_extract(a, '-*$')), length(regexp_extract(b, '-*$'))) AS trail FROM col),
   n AS (SELECT idx, any_value(w) AS w, count(CASE WHEN p = q AND p <> '-' THEN 1 END) AS same, count(CASE WHEN p <> '-' AND q <> '-' THEN 1 END) AS paired, any_value(w - lead - trail) AS span,
     count(CASE WHEN p <> '-' AND q <> '-' AND p <> q AND (p IN ('A', 'G')) = (q IN ('A', 'G')) THEN 1 END) AS ts, count(CASE WHEN p <> '-' AND q <> '-' AND (p IN ('A', 'G')) <> (q IN ('A', 'G')) THEN 1 END) AS tv FROM c GROUP BY idx)"""
+
+
+def _cells_sql(kind: str, local: bool) -> str:
+    """Rows of the affine-gap table one after the other: h the best score, f the best that ends in a gap of b; a gap of a is a running maximum along the row."""
+    edge = "0" if local else "-(14 + 4 * (step - 1))"
+    corner = "0" if local else "CASE WHEN step = 0 THEN 0 ELSE -(14 + 4 * (step - 1)) END"
+    floor = "0, " if local else ""
+    first = "0" if local else "-(14 + 4 * (c - 1))"
+    from_edge = "-1000000" if local else f"{edge} - 14 - 4 * (c - 1)"
+    return f"""{kind}(i, j, c, step, y, h, f, best) AS (SELECT i, j, c, 0, y, CAST({first} AS INTEGER), -1000000, 0 FROM col
+UNION ALL SELECT i, j, c, step, y, greatest(hp, e), f, greatest(best, hp, e) FROM (
+  SELECT *, greatest(coalesce(max(hp + 4 * c) OVER (PARTITION BY i, j ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 14 - 4 * (c - 1), -1000000), {from_edge}) AS e FROM (
+    SELECT l.i, l.j, l.c, step + 1 AS step, y, best, greatest(h - 14, f - 4) AS f, greatest({floor}coalesce(hd, {corner}) + CASE WHEN x.letter = y THEN 5 ELSE -4 END, h - 14, f - 4) AS hp
+    FROM (SELECT *, lag(h) OVER (PARTITION BY i, j ORDER BY c) AS hd FROM {kind}) l JOIN letters x ON x.idx = l.i AND x.pos = l.step + 1)))"""
+
+
+_SCORES = f"""WITH RECURSIVE {_SEQ}, letters AS (SELECT idx, unnest(range(1, length(residues) + 1)) AS pos, unnest(string_split(residues, '')) AS letter FROM seq),
+n AS (SELECT idx, max(pos) AS n FROM letters GROUP BY idx), col AS (SELECT n.idx AS i, x.idx AS j, x.pos AS c, x.letter AS y FROM n JOIN letters x ON n.idx > x.idx),
+{_cells_sql("near", True)}, {_cells_sql("far", False)},
+a AS (SELECT near.i, near.j, max(best) AS local FROM near JOIN n ON n.idx = near.i AND step = n.n GROUP BY 1, 2), b AS (SELECT far.i, far.j, max_by(h, c) AS global FROM far JOIN n ON n.idx = far.i AND step = n.n GROUP BY 1, 2)
+SELECT a.i, a.j, CAST(local AS BIGINT) AS local, CAST(global AS BIGINT) AS global FROM a JOIN b ON a.i = b.i AND a.j = b.j"""
+
+
+def _gamma_sql(a: str, x: str) -> str:
+    """The lower incomplete gamma function as a sum of positive terms."""
+    return f"list_sum(list_transform(range(500), lambda n: exp(-({x}) + ({a} + n) * ln({x}) - lgamma({a} + n + 1))))"
+
+
+def _bessel_sql(n: str, x: str) -> str:
+    return f"list_sum(list_transform(range(60), lambda m: CASE WHEN m % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * exp((2 * m + {n}) * ln({x} / 2) - lgamma(m + 1.0::DOUBLE) - lgamma(m + {n} + 1.0::DOUBLE))))"
+
+
+# Order 0 of the second kind is a series over even orders of the first kind, order 1 follows from the Wronskian, the others by recurrence.
+_SPECIAL = f"""WITH i AS (SELECT DISTINCT CAST(l_quantity AS DOUBLE) AS q, l_discount AS p FROM lineitem), k AS (SELECT DISTINCT q, q / 5 AS k FROM i),
+g AS (SELECT q, k, lgamma(k) AS lgamma, {_gamma_sql("0.5::DOUBLE", "k * k")} AS erf, {_gamma_sql("0.5::DOUBLE", "k * k / 2")} AS half, {_gamma_sql("3.0::DOUBLE", "k")} AS igam, {_gamma_sql("1.5::DOUBLE", "k / 2")} AS chisq, {_gamma_sql("4.0::DOUBLE", "k")} AS poissonc,
+  {_bessel_sql("0", "k")} AS j0, {_bessel_sql("1", "k")} AS j1, {_bessel_sql("3", "k")} AS jn FROM k),
+even AS (SELECT k.q, m, CASE WHEN m % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END / m * {_bessel_sql("2 * o.m", "k").replace("lambda m:", "lambda t:").replace("m % 2", "t % 2").replace("(2 * m +", "(2 * t +").replace("lgamma(m +", "lgamma(t +")} AS term FROM k CROSS JOIN (SELECT unnest(range(1, 31)) AS m) o),
+y AS (SELECT g.*, 2 / pi() * (ln(k / 2) + 0.5772156649015329::DOUBLE) * j0 + 4 / pi() * term AS y0 FROM g JOIN (SELECT q, sum(term) AS term FROM even GROUP BY q) e ON e.q = g.q),
+z AS (SELECT *, (j1 * y0 - 2 / (pi() * k)) / j0 AS y1 FROM y)
+SELECT i.q, i.p, round(lgamma, 6) AS lgamma, round(erf, 6) AS erf, round(1 - erf, 6) AS erfc, round((1 + half) / 2, 6) AS normal, round(j0, 6) AS j0, round(j1, 6) AS j1, round(y0, 6) AS y0, round(y1, 6) AS y1,
+  round(igam, 6) AS igam, round(1 - igam, 6) AS igamc, round(chisq, 6) AS chisq, round(1 - chisq, 6) AS chisqc, round(1 - poissonc, 6) AS poisson, round(poissonc, 6) AS poissonc, round(jn, 6) AS jn, round(4 / k * (2 / k * y1 - y0) - y1, 6) AS yn FROM i JOIN z ON z.q = i.q"""
 ORACLE_SQL = {
+    "alignment_scores": _SCORES,
+    "special_functions": _SPECIAL,
     "sequence_index": f"WITH {_SEQ} SELECT idx, concat('item ', idx) AS label, length(residues) AS length, substring(residues, 3, 12) AS part FROM seq",
     "score_table": f"""WITH l AS (SELECT unnest(string_split(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '')) AS a FROM benchmark), n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
 s(a, b, score) AS (VALUES {', '.join(f"('{a}', '{b}', CAST({v} AS DOUBLE))" for (a, b), v in nucleotide().items())}) SELECT a, b, score, n FROM s JOIN n USING (a)""",
