@@ -10,8 +10,8 @@ from pairforge.functions import alignment as A
 from pairforge.operators import pairs as P
 from pairforge.plans.basics import DIM, DIST, PTS, distances, points, r6
 from pairforge.plans.sequences import _COLS, _SEQ, neighbours, sequences
-from pairforge.session import shared_dir, stage
-from pairforge.sources import fasta, matrix, matrix_source
+from pairforge.session import shared_dir, stage, table
+from pairforge.sources import fasta, matrix, matrix_source, point_files
 from pairforge.sources import points as S
 
 
@@ -36,6 +36,29 @@ def index_file(spark, sf):
     return S.labels_with_length(_written(spark, fasta.index_lines(sequences(spark, sf)), "index.txt"))
 
 
+def solution_file(spark, sf):
+    """Positions written as a scaling's solution with its header, and read back."""
+    p = points(spark, sf)
+    role = F.when(F.col("id") % 7 == 0, "fixed").when(F.col("id") % 11 == 0, "deleted").when(F.col("id") % 13 == 0, "ignored").otherwise("varied")
+    found = p.select("id", F.slice("x", 1, 3).alias("x"), F.transform(F.slice("x", 4, 3), F.abs).alias("err"))
+    solution = point_files.solution_points(found, p.select("id", (F.col("id") * 2).alias("original"), role.alias("role")), "scaling-1")
+    read = _written(spark, point_files.solution_header(solution, "scaling-1", "all points").unionByName(point_files.solution_lines(solution)), "solution.txt")
+    total = point_files.headers(read, {"NumberPointsinFile": "long", "FileGenerationType": "long"})
+    got = point_files.points(read, names={"xerr": "double", "grouplabel": "string", "source": "string"})
+    # One header.
+    return got.join(F.broadcast(total)).select("number", "original", r6("x"), r6("y"), r6("z"), r6("xerr"), "group", "grouplabel", "source", F.col("NumberPointsinFile").alias("points"), F.col("FileGenerationType").alias("kind"))
+
+
+def comparison_label_file(spark, sf):
+    """Peaks of one charge with golden and compared labels: each label's peaks."""
+    i = table(spark, sf, "lineitem")
+    golden = F.when(F.col("l_linenumber") % 2 == 0, F.lit("NA")).otherwise(F.col("l_suppkey").cast("string"))
+    cols = [F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_extendedprice"), F.col("l_discount"), F.col("l_quantity").cast("int"), F.col("l_returnflag"), golden, F.col("l_partkey") % 9 + 0.9995, F.col("l_suppkey") % 5]
+    read = _written(spark, i.select(F.concat_ws("\t", *(c.cast("string") for c in cols)).alias("value")), "peaks.txt")
+    got = point_files.comparison_labels(read, 10)
+    return got.groupBy(F.col("mclust").cast("long").alias("mclust"), F.col("medea").cast("long").alias("medea")).agg(F.count("*").alias("n"), F.count_if(F.col("golden") >= 0).alias("golden"), F.countDistinct("golden_label").alias("labels"), r6(F.sum("rt"), "rt"))
+
+
 def _rows(spark, sf):
     """The whole distance matrix by rows, with its zero diagonal."""
     own = points(spark, sf).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("d"))
@@ -161,6 +184,7 @@ def alignment_score_dump(spark, sf):
 
 
 QUERIES = {
+    "file_solution": solution_file, "file_comparison_labels": comparison_label_file,
     "file_fasta": fasta_file, "file_index": index_file, "file_matrix_text": matrix_text_file, "file_matrix_binary": matrix_binary_files, "file_matrix_types": matrix_types, "file_matrix_slices": matrix_slices, "matrix_reordered": matrix_reordered,
     "file_vectors": vector_file, "file_points_3d": points_3d_file, "file_clusters": cluster_file, "file_lcms_previous": lcms_previous_file, "file_centers": center_file,
     "file_solution_styles": solution_styles, "file_alignments": alignment_dump, "file_alignment_scores": alignment_score_dump,
@@ -171,6 +195,11 @@ _TYPED = " UNION ALL ".join(
 )
 _FULL = DIST + ", full_ AS (SELECT i, j, d FROM dist UNION ALL SELECT id, id, 0.0 FROM pts)"
 ORACLE_SQL = {
+    "file_solution": f"""WITH {PTS}, r AS (SELECT id, x, CASE WHEN id % 7 = 0 THEN 2 WHEN id % 11 = 0 THEN 3 WHEN id % 13 = 0 THEN -1 ELSE 1 END AS g FROM pts)
+SELECT id AS number, id * 2 AS original, round(CASE WHEN g <> 3 THEN x[1] END, 6) AS x, round(CASE WHEN g <> 3 THEN x[2] END, 6) AS y, round(CASE WHEN g <> 3 THEN x[3] END, 6) AS z, round(CASE WHEN g <> 3 THEN abs(x[4]) END, 6) AS xerr,
+  CAST(g AS BIGINT) AS group, CASE g WHEN 1 THEN 'Varied' WHEN 2 THEN 'Fixed' WHEN 3 THEN 'Deleted' ELSE 'Ignored' END AS grouplabel, CASE WHEN g = 1 THEN 'scaling-1' END AS source, count(*) OVER () AS points, CAST(CASE WHEN bool_or(g <> 1) OVER () THEN 4 ELSE 2 END AS BIGINT) AS kind FROM r""",
+    "file_comparison_labels": """SELECT CAST(l_partkey % 9 + 1 AS BIGINT) AS mclust, CAST(l_suppkey % 5 AS BIGINT) AS medea, count(*) AS n, count(CASE WHEN l_linenumber % 2 = 1 THEN 1 END) AS golden, count(DISTINCT l_returnflag) AS labels, round(sum(CAST(l_discount AS DOUBLE)), 6) AS rt
+FROM lineitem WHERE CAST(floor(l_quantity) AS INTEGER) = 10 GROUP BY 1, 2""",
     "file_fasta": f"WITH {_SEQ} SELECT concat('item ', idx) AS label, residues FROM seq",
     "file_index": f"WITH {_SEQ} SELECT idx, concat('item ', idx) AS name, CAST(length(residues) AS INTEGER) AS length FROM seq",
     "file_matrix_text": f"WITH {_FULL} SELECT i, count(*) AS n, round(sum(d), 6) AS total FROM full_ GROUP BY i",
