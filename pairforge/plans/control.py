@@ -26,11 +26,13 @@ def kmeans_bounded(spark, sf):
 
 
 def kmeans_bounded_converged(spark, sf):
-    """To the stop rule."""
+    """To the stop rule, and whether bounds saved a third of the distances."""
     pts = points(spark, sf)
     first = pts.where("id < 4").select(F.col("id").alias("k"), F.col("x").alias("y"))
-    assigned, _, _ = B.fit(pts, first, dim=DIM)
-    return assigned.select("id", "k", r6("d"))
+    assigned, _, steps = B.fit(pts, first, dim=DIM)
+    # One number.
+    saved = assigned.agg((F.avg("computed") < 0.67 * 4 * (steps + 1)).alias("saved"))
+    return assigned.select("id", "k", r6("d")).join(F.broadcast(saved))
 
 
 def mds_center(spark, sf):
@@ -158,7 +160,7 @@ def _along(t: str) -> str:
 
 ORACLE_SQL = {
     "kmeans_bounded": f"WITH {_LLOYD} SELECT k, count(*) AS n, round(max(d), 6) AS radius, round(sum(d * d), 6) AS width FROM a1 GROUP BY k",
-    "kmeans_bounded_converged": f"WITH {_converged_sql()} SELECT id, k, d FROM a",
+    "kmeans_bounded_converged": f"WITH {_converged_sql()} SELECT id, k, d, true AS saved FROM a",
     "mds_center": f"WITH {_MDS_CENTER} SELECT center, round(radius, 6) AS radius FROM best",
     "mds_center_bins": f"WITH {DIST}, h AS (SELECT (d - CAST(1.2 AS DOUBLE)) * (30 / (CAST(1.5 AS DOUBLE) - CAST(1.2 AS DOUBLE))) AS v FROM dist) SELECT CAST(least(greatest(CASE WHEN floor(v) = 30 THEN floor(v - CAST(0.00001 AS DOUBLE)) ELSE floor(v) END, -1), 30) + 1 AS BIGINT) AS bin, count(*) AS n FROM h GROUP BY 1",
     "mds_axes": f"""WITH {_AXIS}, pr AS (SELECT a.i, a.d * b.d AS d FROM dist a JOIN best ON a.j = center JOIN dist b ON b.i = a.i JOIN ax ON b.j = ax.point)

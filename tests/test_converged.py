@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 
@@ -25,3 +26,14 @@ def test_kmeans_tells_that_it_ran_out(spark):
     pts = points(spark, SF)
     with pytest.warns(RuntimeWarning, match="converge"):
         K.fit(pts, pts.where("id < 4").selectExpr("id AS k", "x AS y"), most=1, dim=DIM)
+
+
+def test_bounded_kmeans_tells_what_bounds_saved(spark):
+    got = catalog.queries()["kmeans_bounded_converged"](spark, SF)
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+        want = db.execute(catalog.oracle_sql()["kmeans_bounded_converged"])
+        names = [c[0] for c in want.description]
+        rows = want.fetchall()
+    assert got.columns == names == ["id", "k", "d", "saved"]
+    assert sorted(map(tuple, got.collect())) == sorted(rows)
