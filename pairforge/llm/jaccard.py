@@ -8,7 +8,7 @@ hash. Sets that meet are discarded by size, by the places of the shingle they me
 parity bitmaps, whose Hamming distance is at most the number of differing shingles, of 1024 bits where they
 meet and of about as many bits as a set has shingles afterwards. Survivors are compared exactly. Each text
 is compared with the first of all it meets, then with the first under each shingle; at last all pairs that
-are still apart follow.
+are still apart follow. Pairs that another search found (``simhash``) come before them.
 """
 
 from __future__ import annotations
@@ -210,9 +210,12 @@ def _close(pairs: DataFrame, least: float) -> DataFrame:
     return map_arrow(pairs, "a long, b long", make)
 
 
-def near_groups(df: DataFrame, id_col: str, text_col: str = "text", words: int = WORDS, least: float = LEAST, bucket_bits: int = BUCKET_BITS) -> DataFrame:
+def near_groups(df: DataFrame, id_col: str, text_col: str = "text", words: int = WORDS, least: float = LEAST, bucket_bits: int = BUCKET_BITS, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row per row of ``df``: (id, root), the same root for what is joined by links of similarity ``least`` or more.
 
+    ``near`` gives pairs (a, b) of a table of nodes, one for each set, that are compared exactly before all
+    others; those it links are not compared again. Any pairs give the same groups.
+
     The ids are distinct longs that do not change when ``df`` is read again. Case and kind of white space
     do not count; texts without words (nulls too) are one group; other columns are not read; an empty
     table gives no rows.
@@ -268,6 +271,10 @@ def near_groups(df: DataFrame, id_col: str, text_col: str = "text", words: int =
 
     # As many pairs as texts, then as shingles of texts, then those of all that are still apart.
     ahead = met.where("node <> first.node").groupBy(F.col("node").alias("b")).agg(F.min("first.node").alias("a"))
+    if near is not None:
+        roots = joined(near(distinct.select("node")))
+        of_a, of_b = (roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")) for side in "ab")
+        ahead = ahead.join(of_a, "a", "left").join(of_b, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     roots = joined(ahead)
     star = apart(roots).where((F.col("root") != F.col("head")) & allowed("n", "first.n", "place", "first.place"))
     roots = joined(star.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct())

@@ -9,6 +9,9 @@ hashes lie too close together to tell far ones apart by a join: of four 16-bit s
 equal in any pair that differs in two bits, so pairs meet under one of six 32-bit keys. Blocks of more
 than BLOCK fingerprints are dealt anew by 28 keys over their other 32 bits (six of eight nibbles equal),
 which leaves 256 at most. Blocks give spanning links, not pairs; components are built from those.
+
+``similar_groups`` uses the same steps at WIDE bits over runs of WIDE_WORDS words, where near copies lie
+closer together, and has an exact check of the similarity of sets follow (``jaccard``).
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairforge.session import discard
+
 from . import jaccard
 from .common import map_arrow, ship, stage
 from .components import connected_components
@@ -30,6 +35,8 @@ from .components import connected_components
 #: Differing bits of a link; pivots; fingerprints of a block that are compared at once; hashes summed at once.
 RADIUS, PIVOTS, BLOCK, SUMMED = 2, 32, 1024, 1 << 16
 SEED, WORDS = 42, 3
+#: The same of groups by similarity: differing bits, words of a run, fingerprints of a block that are compared at once.
+WIDE, WIDE_WORDS, WIDE_BLOCK = 4, 2, 4096
 
 
 def pivots(count: int = PIVOTS) -> np.ndarray:
@@ -170,6 +177,42 @@ def near_links(table: DataFrame, block: int = BLOCK) -> DataFrame:
     return _links(small.select("rows").union(large.select("rows")), RADIUS)
 
 
+def _mask(bits: list[int]) -> int:
+    """A signed long with these bits."""
+    value = sum(1 << b for b in bits)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _cut(bits: list[int], parts: int) -> list[list[int]]:
+    return [bits[len(bits) * p // parts : len(bits) * (p + 1) // parts] for p in range(parts)]
+
+
+def wide_links(table: DataFrame, radius: int = WIDE, block: int = WIDE_BLOCK) -> DataFrame:
+    """As ``near_links`` for any radius under eight, (a, b) once each.
+
+    Of ``radius`` + 2 segments two at least are equal, so pairs meet under the bits of any two. Larger blocks
+    are dealt anew by their open bits in eight parts, of which ``radius`` differ at most. Keys travel without
+    rows of the pivot table; only fingerprints that meet another fetch theirs.
+    """
+    every, keys, subs = list(range(64)), [], []
+    for i, pair in enumerate(combinations(_cut(every, radius + 2), 2)):
+        own = sum(pair, [])
+        keys.append(F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_mask(own)).cast("long")).alias("bits")))
+        parts = _cut([b for b in every if b not in own], 8)
+        subs += [(i, j, _mask(sum(chosen, []))) for j, chosen in enumerate(combinations(parts, 8 - radius))]
+    keyed = table.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.*")
+    counts = keyed.groupBy("i", "bits").agg(F.count("*").alias("n")).where("n > 1")
+    met = keyed.join(counts, ["i", "bits"]).join(table, "fp")
+    rows = F.collect_list(F.struct("fp", "c")).alias("rows")
+    small = met.where(F.col("n") <= block).groupBy("i", "bits").agg(rows)
+    # As many rows as there are sub-keys: about a thousand, whatever the tables.
+    masks = table.sparkSession.createDataFrame(subs, "i int, j int, mask long")
+    large = met.where(F.col("n") > block).join(F.broadcast(masks), "i").withColumn("sub", F.col("fp").bitwiseAND(F.col("mask")))
+    large = large.groupBy("i", "bits", "j", "sub").agg(rows).where(F.size("rows") > 1)
+    found = _links(small.select("rows").union(large.select("rows")), radius)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row per row of ``df``: (id, fingerprint, component_id, n_same).
 
@@ -195,9 +238,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def similar_groups(df: DataFrame, id_col: str, text_col: str = "text", words: int = jaccard.WORDS, similarity: float = jaccard.LEAST) -> DataFrame:
     """(id, root): the groups of texts linked by a Jaccard similarity of ``similarity`` over runs of ``words`` words.
 
-    The bits of a SimHash bound no similarity of sets: at 0.8 they differ in ten of 64 on average and in up
-    to twenty, where pivots discard nothing. So the fingerprints of this mode are parity bitmaps, whose
-    Hamming distance bounds the differing shingles; see ``jaccard``, which also says what holds of nulls,
-    empty texts, repeated rows, other columns and empty tables.
+    Of texts with different sets fingerprints are taken and their rows of the pivot table stored; what lies
+    within WIDE bits after the pivots have discarded the rest is compared exactly, and so are texts of one
+    fingerprint. The bits of a SimHash bound no similarity of sets (at 0.8 they differ in up to twenty of 64),
+    so texts that are still apart follow by an exact way that loses no link: ``jaccard``, which also says
+    what holds of nulls, empty texts, repeated rows, other columns and empty tables.
     """
-    return jaccard.near_groups(df, id_col, text_col, words, similarity)
+    spark = df.sparkSession
+    made = stage(spark, fingerprints(df, id_col, text_col, WIDE_WORDS), "fingerprints").withColumnRenamed(id_col, "node")
+
+    def near(nodes: DataFrame) -> DataFrame:
+        held = stage(spark, made.join(nodes, "node", "left_semi"), "held")
+        lows = held.groupBy("fp").agg(F.min("node").alias("low"))
+        table = stage(spark, lows.withColumn("c", coordinates(F.col("fp"))), "pivot_table")
+        low_a, low_b = (table.select(F.col("fp").alias(side), F.col("low").alias(f"low_{side}")) for side in "ab")
+        far = wide_links(table.select("fp", "c")).join(low_a, "a").join(low_b, "b").select(F.col("low_a").alias("a"), F.col("low_b").alias("b"))
+        same = held.join(lows, "fp").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+        found = stage(spark, far.union(same), "near")
+        for used in (made, held, table):
+            discard(used)
+        return found
+
+    return jaccard.near_groups(df, id_col, text_col, words, similarity, near=near)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pairforge.llm import jaccard, simhash
+from pairforge.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,3 +93,51 @@ def test_stage_drops_near_copies(spark):
     kept = found.collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(groups_of(texts).values()))
     assert all(r.row == 7 and r.row_ == r.doc_id for r in kept)
+
+
+def test_wide_links_equal_brute_force(spark):
+    rnd = random.Random(8)
+    values = {rnd.getrandbits(64) for _ in range(40)} | {0}
+    for _ in range(2):
+        values |= {v ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(1, 6))) for v in list(values) for _ in range(2)}
+    signed = {v - (1 << 64) if v >> 63 else v: v for v in values}
+    root = {v: v for v in signed}
+    for a in signed:
+        for b in signed:
+            if (signed[a] ^ signed[b]).bit_count() <= simhash.WIDE and root[a] != root[b]:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {v: new if r == old else r for v, r in root.items()}
+    want = sorted((v, r) for v, r in root.items() if list(root.values()).count(r) > 1)
+    table = spark.createDataFrame([(v,) for v in signed], "fp long").withColumn("c", simhash.coordinates(F.col("fp")))
+    for block in (simhash.WIDE_BLOCK, 1):
+        assert sorted(map(tuple, connected_components(simhash.wide_links(table, block=block)).collect())) == want
+
+
+def test_stage_takes_fingerprints_and_pivots_first(spark, monkeypatch):
+    texts, seen, search = planted(spark), {}, simhash.wide_links
+
+    def watched(table):
+        seen["table"] = {r.fp: list(r.c) for r in table.collect()}
+        found = search(table)
+        seen["links"] = [(r.a, r.b) for r in found.collect()]
+        return found
+
+    monkeypatch.setattr(simhash, "wide_links", watched)
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    prints = {i: simhash.fingerprint_of(t, simhash.WIDE_WORDS) for i, t in texts.items() if plain(t)}
+    pivots = simhash.pivots().tolist()
+    assert {fp % (1 << 64) for fp in seen["table"]} <= set(prints.values())
+    assert len(seen["table"]) <= len({frozenset(plain(texts[i])) for i in prints})
+    assert all(c == [((fp % (1 << 64)) ^ p).bit_count() for p in pivots] for fp, c in seen["table"].items())
+    assert len(seen["links"]) > 20 and all(((a ^ b) % (1 << 64)).bit_count() <= simhash.WIDE for a, b in seen["links"])
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(groups_of(texts).values()))
+
+
+def test_given_pairs_change_no_group(spark):
+    texts = planted(spark)
+    df, want = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(3), groups_of(texts)
+    every = lambda nodes: nodes.select(F.col("node").alias("b")).where("b > 0").select(F.lit(1).cast("long").alias("a"), "b")
+    got = {r.id: r.root for r in jaccard.near_groups(df, "id", near=every).collect()}
+    assert got.keys() == want.keys()
+    assert len({(got[i], want[i]) for i in want}) == len(set(got.values())) == len(set(want.values()))
