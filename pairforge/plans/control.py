@@ -13,7 +13,7 @@ from pairforge.operators import transforms as T
 from pairforge.operators import triangle as B
 from pairforge.plans.annealing import _members
 from pairforge.plans.basics import DIM, DIST, MEANS, PTS, distances, points, r6
-from pairforge.plans.clustering import _LLOYD, _TWO, _converged_sql, _scaled, _two
+from pairforge.plans.clustering import SETTLED, _LLOYD, _TWO, _converged_sql, _scaled, _two
 from pairforge.session import stage
 
 
@@ -26,10 +26,10 @@ def kmeans_bounded(spark, sf):
 
 
 def kmeans_bounded_converged(spark, sf):
-    """To the stop rule, and whether bounds saved a third of the distances."""
+    """To the fixed point, and whether bounds saved a third of the distances."""
     pts = points(spark, sf)
     first = pts.where("id < 4").select(F.col("id").alias("k"), F.col("x").alias("y"))
-    assigned, _, steps = B.fit(pts, first, dim=DIM)
+    assigned, _, steps = B.fit(pts, first, **SETTLED, dim=DIM)
     # One number.
     saved = assigned.agg((F.avg("computed") < 0.67 * 4 * (steps + 1)).alias("saved"))
     return assigned.select("id", "k", r6("d")).join(F.broadcast(saved))
