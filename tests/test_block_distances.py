@@ -53,3 +53,9 @@ def test_sums_over_pairs_are_made_once(spark):
     eps, clusters = C.m_step(edges, members)
     assert all("means" in eps.inputFiles()[0] and any("means" in f for f in df.inputFiles()) for df in (eps, clusters))
     assert {(r.k, round(r.a, 6)) for r in clusters.collect()} == {(0, round(-0.5 * 70 / 36, 6)), (1, round(-0.5 * 70 / 36, 6))}
+
+
+def test_pairs_are_not_broadcast(spark):
+    """Positions joined with roles were estimated as larger than the pairs, which were then sent to the driver."""
+    plan = catalog.queries()["mds_components"](spark, FAR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and plan.count("Join") == 2
